@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .jaccard_join import op4_jaccard_join
+from .substring_dedup import op10_substring_dedup
 
 QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {}
