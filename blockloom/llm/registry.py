@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .jaccard_join import op4_jaccard_join
+from .quality_rules import op9_quality_rules
+from .secret_scan import op2_secret_scan
 from .substring_dedup import op10_substring_dedup
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op4_jaccard_join": op4_jaccard_join,
+    "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
