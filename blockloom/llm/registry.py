@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .jaccard_join import op4_jaccard_join
+from .quality_classifier import op7_quality_classifier
 from .quality_rules import op9_quality_rules
 from .secret_scan import op2_secret_scan
 from .substring_dedup import op10_substring_dedup
@@ -10,6 +11,7 @@ from .substring_dedup import op10_substring_dedup
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op4_jaccard_join": op4_jaccard_join,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
