@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html_text import op6_html_text
 from .jaccard_join import op4_jaccard_join
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import op9_quality_rules
@@ -11,6 +12,7 @@ from .substring_dedup import op10_substring_dedup
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_html_text": op6_html_text,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
