@@ -144,7 +144,7 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
                 index.setdefault(t, []).append(j)
 
 
-def _block(rows: pd.DataFrame, percent: int, forest: bool) -> pd.DataFrame:
+def _block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     rows = rows.sort_values(["side", "node"], kind="stable")
     sets = [np.frombuffer(s, np.int64) for s in rows["shingles"]]
     nodes, cut = rows["node"].tolist(), int((rows["side"] == 0).sum())
@@ -161,23 +161,62 @@ def _block(rows: pd.DataFrame, percent: int, forest: bool) -> pd.DataFrame:
     for i, j in block_links(sets[:cut], sets[cut:] if two else None, percent):
         j += cut if two else 0
         a, b = root(i), root(j)
-        if a != b or not forest:
+        if a != b:
             parent[b] = a
             if nodes[i] != nodes[j]:
                 out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
     return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
 
+def _search(spark: SparkSession, docs: DataFrame, plan: DataFrame, width: int, percent: int, filter_bits: int) -> DataFrame:
+    """Links inside the blocks of a plan ``(node, component, a, b, side)``."""
+    bitmap = id_bitmap(spark, plan, "node", filter_bits)
+    sets = docs.where("doc_id is not null").withColumn("bit", bit_of("doc_id", filter_bits)).mapInArrow(
+        lambda it: _sets(it, width, bitmap.value), "node long, shingles binary"
+    )
+    return sets.join(plan, "node").groupBy("component", "a", "b").applyInPandas(lambda p: _block(p, percent), "u long, v long").distinct()
+
+
+def _mingled(sized: DataFrame, block: int) -> DataFrame:
+    """Small clusters as they are; large ones dealt into blocks by chance, twice."""
+    plan = sized.where(f"size <= {block}").select("node", "component", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"))
+    for deal in (1, 2):
+        chunk = F.pmod(F.xxhash64(F.lit(deal), "node"), F.ceil(F.col("size") / block)).cast("int")
+        plan = plan.unionByName(sized.where(f"size > {block}").select("node", "component", F.lit(deal).alias("a"), chunk.alias("b"), F.lit(0).alias("side")))
+    return plan
+
+
+def _strangers(scratch: Scratch, labelled: DataFrame, block: int) -> DataFrame:
+    """Blocks in which every document outside its cluster's largest class meets the whole cluster.
+
+    Two documents of that class need not meet: they are in one component already.
+    """
+    own = scratch.save(labelled.withColumn("label", F.coalesce("label", "node")))
+    count = own.groupBy("component", "label").agg(F.count("*").alias("n"))
+    main = count.groupBy("component").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
+    known = own.join(main.select("component", F.col("main.label").alias("main"), (F.col("all") - F.col("main.n")).alias("others")), "component").where("others > 0")
+    ways, parts = F.ceil(F.col("others") / block).cast("int"), F.ceil(F.col("size") / block).cast("int")
+    crowd = known.select(
+        "node", "component", F.explode(F.sequence(F.lit(0), ways - 1)).alias("a"),
+        F.pmod(F.xxhash64(F.lit(3), "node"), parts).cast("int").alias("b"), F.lit(0).alias("side"),
+    )
+    asking = known.where("label <> main").select(
+        "node", "component", F.pmod(F.xxhash64(F.lit(4), "node"), ways).cast("int").alias("a"),
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("b"), F.lit(1).alias("side"),
+    )
+    return crowd.unionByName(asking)
+
+
 def jaccard_components(
-    spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, block: int = 64, filter_bits: int = BITS, forest: bool = True
+    spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, block: int = 64, filter_bits: int = BITS
 ) -> tuple[DataFrame, DataFrame]:
     """Membership ``(doc_id, n_shingles, representative, component_id)`` and links ``(u, v)``.
 
     docs needs doc_id and text; other columns are ignored.  A null or wordless text has the
     empty set and links with nothing.  Rows that repeat a doc_id count as one document that
     has all of their sets; rows with a null doc_id come back with a null component.  Links
-    are between representatives of equal sets: a spanning forest of each block, or every
-    link if ``forest`` is false.  An empty table gives an empty result.
+    are between representatives of equal sets and span every component; links that would close
+    a circle inside a block are left out.  An empty table gives an empty result.
     """
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -201,36 +240,15 @@ def jaccard_components(
         .where(F.size("lists") > fewest)
         .select("node", F.slice("lists", F.lit(1), F.size("lists") - fewest).alias("lists"))
     )
-    short = scratch.save(short.select("node", F.explode("lists.token").alias("token"), F.element_at("lists.token", -1).alias("place")))
+    short = scratch.save(short.select("node", F.explode("lists.token").alias("token")))
     lead = short.groupBy("token").agg(F.min("node").alias("lead"))
     cluster = scratch.save(components(short.join(lead, "token").select(F.col("node").alias("u"), F.col("lead").alias("v")), scratch))
-    size = cluster.groupBy("component").agg(F.count("*").alias("size"))
-    placed = cluster.join(size, "component")
-    small = placed.where(f"size <= {block}").select("node", "component", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"))
-
-    spot = short.select("node", "place").distinct().join(placed.where(f"size > {block}"), "node")
-    crowd = spot.groupBy("component", "place").agg(F.count("*").alias("crowd"))
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / block))
-    chunk = F.pmod(F.xxhash64("place", salt), F.ceil(F.col("size") / block)).cast("int")
-    spot = scratch.save(spot.join(crowd, ["component", "place"]).select("node", "component", chunk.alias("chunk")).distinct())
-    heard = short.join(spot, "node").select("component", "token", "chunk").distinct()
-    meet = (
-        heard.withColumnRenamed("chunk", "a").join(heard.withColumnRenamed("chunk", "b"), ["component", "token"])
-        .where("a <= b").select("component", "a", "b").distinct()
-    )
-    ends = meet.select("component", "a", "b", F.col("a").alias("chunk"), F.lit(0).alias("side")).unionByName(
-        meet.where("a < b").select("component", "a", "b", F.col("b").alias("chunk"), F.lit(1).alias("side"))
-    )
-    large = spot.join(ends, ["component", "chunk"]).select("node", "component", "a", "b", "side")
-    plan = scratch.save(small.unionByName(large))
-
-    bitmap = id_bitmap(spark, cluster, "node", filter_bits)
-    wanted = docs.where("doc_id is not null").withColumn("bit", bit_of("doc_id", filter_bits)).mapInArrow(
-        lambda it: _sets(it, width, bitmap.value), "node long, shingles binary"
-    )
-    links = scratch.save(
-        wanted.join(plan, "node").groupBy("component", "a", "b").applyInPandas(lambda p: _block(p, percent, forest), "u long, v long").distinct()
-    )
+    sized = scratch.save(cluster.join(cluster.groupBy("component").agg(F.count("*").alias("size")), "component"))
+    links = scratch.save(_search(spark, docs, _mingled(sized, block), width, percent, filter_bits))
+    label = components(links, scratch).select("node", F.col("component").alias("label"))
+    late = scratch.save(_strangers(scratch, sized.where(f"size > {block}").join(label, "node", "left"), block))
+    if not late.isEmpty():
+        links = scratch.save(links.unionByName(_search(spark, docs, late, width, percent, filter_bits)).distinct())
     joined = components(links, scratch).select(F.col("node").alias("representative"), F.col("component").alias("component_id"))
     member = member.join(joined, "representative", "left").select(
         "doc_id", "n_shingles", "representative", F.coalesce("component_id", "representative", "doc_id").alias("component_id")
