@@ -8,9 +8,11 @@ from .quality_classifier import op7_quality_classifier
 from .quality_rules import op9_quality_rules
 from .secret_scan import op2_secret_scan
 from .substring_dedup import op10_substring_dedup
+from .url_filter import op3_url_filter
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_url_filter": op3_url_filter,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_html_text": op6_html_text,
     "op7_quality_classifier": op7_quality_classifier,
