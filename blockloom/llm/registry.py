@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op5_byte_bpe
 from .html_text import op6_html_text
 from .jaccard_join import op4_jaccard_join
 from .quality_classifier import op7_quality_classifier
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_url_filter": op3_url_filter,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_html_text": op6_html_text,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
