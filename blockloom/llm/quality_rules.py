@@ -109,7 +109,7 @@ def furniture(lines: DataFrame, share: float, least_docs: int) -> DataFrame:
 
 def depleted_documents(docs: DataFrame, scratch: Scratch, share: float = 0.1, least_docs: int = 20, loss: float = 0.5) -> DataFrame:
     """doc_ids that lose over ``loss`` of their words with the lines above the limits."""
-    lines = host_lines(docs.where("doc_id is not null"))
+    lines = scratch.save(host_lines(docs.where("doc_id is not null")))
     common = scratch.save(furniture(lines, share, least_docs))
     lost = (
         lines.join(common.withColumn("common", F.lit(1)), ["host", "line"], "left")
