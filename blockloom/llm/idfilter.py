@@ -37,3 +37,22 @@ def passing(batch: pa.RecordBatch, bitmap: np.ndarray, column: str = "bit") -> p
     """The rows whose id may be in the set."""
     bit = batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False)
     return batch.filter(pa.array((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
+
+
+def hash_bitmap(spark: SparkSession, hashes: DataFrame, column: str, bits: int) -> Broadcast:
+    """Like :func:`id_bitmap` for values that are hashes already: their low bits serve."""
+    words = (
+        hashes.select(F.expr(f"`{column}` & {(1 << bits) - 1}L").alias("bit"))
+        .groupBy(F.expr("bit div 64").cast("int").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
+    )
+    out = np.zeros(1 << (bits - 6), np.int64)
+    rows = words.toArrow()
+    out[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
+    return spark.sparkContext.broadcast(out.astype("<i8").view(np.uint8))
+
+
+def holds(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which signed 64-bit hashes may be in a set made by :func:`hash_bitmap`."""
+    bit = hashes & ((1 << bits) - 1)
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0

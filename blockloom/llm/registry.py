@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op5_byte_bpe
 from .html_text import op6_html_text
 from .jaccard_join import op4_jaccard_join
+from .line_dedup import op8_line_dedup
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import op9_quality_rules
 from .secret_scan import op2_secret_scan
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_html_text": op6_html_text,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }

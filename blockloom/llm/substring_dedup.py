@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .idfilter import bit_of, id_bitmap
+from .idfilter import bit_of, hash_bitmap, holds, id_bitmap
 from .scratch import Scratch
 from .text import chunks, signed, split_words, window_hashes
 
@@ -69,8 +69,7 @@ def repeated_windows(batches: Iterator[pa.RecordBatch], width: int, bitmap: Broa
             if found is None or not len(found[1]):
                 continue
             words, start, row, least, _ = found
-            bit = anchor_bit(signed(least), bits)
-            may = (bitmap.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+            may = holds(bitmap.value, signed(least), bits)
             start, row = start[may], row[may]
             ids = part.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             hashes = window_hashes(words.hashes, width)[start]
@@ -80,23 +79,6 @@ def repeated_windows(batches: Iterator[pa.RecordBatch], width: int, bitmap: Broa
             )
 
 
-def anchor_bit(anchor: np.ndarray, bits: int) -> np.ndarray:
-    """Anchors are hashes already: their low bits serve."""
-    return (anchor & ((1 << bits) - 1)).astype(np.int64)
-
-
-def anchor_bitmap(spark: SparkSession, anchors_: DataFrame, bits: int) -> Broadcast:
-    words = (
-        anchors_.select(F.expr(f"anchor & {(1 << bits) - 1}L").alias("bit"))
-        .groupBy(F.expr("bit div 64").cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
-    )
-    out = np.zeros(1 << (bits - 6), np.int64)
-    rows = words.toArrow()
-    out[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
-    return spark.sparkContext.broadcast(out.astype("<i8").view(np.uint8))
-
-
 def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     """Maximal runs of words, end exclusive, that the windows at sorted starts cover."""
     if not len(starts):
@@ -153,7 +135,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, keep_t
         named.select("text").mapInArrow(lambda it: anchors(it, width), "anchor long")
         .groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     )
-    marked = anchor_bitmap(spark, twice, anchor_bits)
+    marked = hash_bitmap(spark, twice, "anchor", anchor_bits)
     windows = named.mapInArrow(lambda it: repeated_windows(it, width, marked, anchor_bits), "window long, doc_id long, start int")
     first = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
     later = windows.join(first, "window").where(F.struct("doc_id", "start") > F.col("first"))
