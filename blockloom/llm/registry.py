@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op5_byte_bpe
+from .decontaminate import op1_decontaminate
 from .html_text import op6_html_text
 from .jaccard_join import op4_jaccard_join
 from .line_dedup import op8_line_dedup
@@ -13,6 +14,7 @@ from .substring_dedup import op10_substring_dedup
 from .url_filter import op3_url_filter
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
     "op3_url_filter": op3_url_filter,
     "op4_jaccard_join": op4_jaccard_join,

@@ -88,7 +88,8 @@ class Words:
 
 
 def split_words(column: pa.Array, lower: bool = False, breaks: np.ndarray | None = None) -> Words:
-    """Words of a string column; null counts as empty.  ``lower`` folds A-Z.
+    """Words of a string column; null counts as empty.  ``lower`` folds A-Z; ``breaks`` tells by
+    byte what lies between words, white space if not given.
 
     ``first`` has one more entry than the column has rows.
     """
@@ -100,7 +101,7 @@ def split_words(column: pa.Array, lower: bool = False, breaks: np.ndarray | None
     size = int(rows[-1]) if len(rows) else 0
     body = column.buffers()[2]
     data = np.frombuffer(body, np.uint8)[base : base + size] if size else np.zeros(0, np.uint8)
-    space = _SPACE[data]
+    space = (_SPACE if breaks is None else breaks)[data]
     begin = ~space
     end = np.zeros(size + 1, bool)
     if size:
