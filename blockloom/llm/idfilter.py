@@ -7,6 +7,7 @@ that follows every use of it stays exact.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,3 +57,26 @@ def holds(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     """Which signed 64-bit hashes may be in a set made by :func:`hash_bitmap`."""
     bit = hashes & ((1 << bits) - 1)
     return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+
+
+def drop_ids(spark: SparkSession, docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows of docs whose id is not among ids; rows of null id stay.
+
+    Rows whose id the bitmap rules out go straight through; only the rest, about as many as
+    there are ids, meet the ids in an exact anti-join.
+    """
+    bitmap = id_bitmap(spark, ids, column)
+    ready = docs.withColumn("__bit", F.coalesce(bit_of(column), F.lit(-1)))
+    inside = _bit_set(bitmap)("__bit")
+    may = ready.where(inside).drop("__bit").join(ids.select(column).distinct(), column, "left_anti").select(*docs.columns)
+    return ready.where(~inside).select(*docs.columns).unionByName(may)
+
+
+def _bit_set(bitmap: Broadcast):
+    @F.pandas_udf("boolean")
+    def inside(bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy()
+        safe = np.maximum(at, 0)
+        return pd.Series(((bitmap.value[safe >> 3] >> (safe & 7).astype(np.uint8)) & 1 > 0) & (at >= 0))
+
+    return inside
