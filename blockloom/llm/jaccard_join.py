@@ -8,7 +8,8 @@ another:
 2. Of each set's shingles in hash order the first ``p`` are indexed.  Linked sets share at
    least ``l`` of their indexed shingles, so DivideSkip may leave the ``l - 1`` longest lists
    of each document unmerged; the lists of a common passage are such.  Most documents then
-   have no list left that names another document.
+   have no list left that names another document.  Documents that still meet in large numbers
+   get all their shingles indexed, so that all but the shortest lists can be left unmerged.
 3. What remains forms candidate clusters.  Inside a cluster, in blocks of bounded size, the
    short lists are heap-merged, the long ones probed by binary search and documents that reach
    the required overlap are kept (:func:`divide_skip`).  A cluster above ``block`` documents
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -207,6 +208,37 @@ def _strangers(scratch: Scratch, labelled: DataFrame, block: int) -> DataFrame:
     return crowd.unionByName(asking)
 
 
+def _full_sets(spark: SparkSession, docs: DataFrame, nodes: DataFrame, width: int, filter_bits: int) -> DataFrame:
+    """``(node, tokens)``: whole shingle sets of the documents that may be among nodes."""
+    bitmap = id_bitmap(spark, nodes, "node", filter_bits)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(passing(batch, bitmap.value), "text"):
+                sets = [signed(s) for s in shingle_sets(part.column("text"), width)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), list_array(sets, pa.int64())], ["node", "tokens"])
+
+    return docs.where("doc_id is not null").withColumn("bit", bit_of("doc_id", filter_bits)).mapInArrow(read, "node long, tokens array<long>")
+
+
+def _clusters(postings: DataFrame, aside: Column, scratch: Scratch) -> DataFrame:
+    """``(node, component, size)`` of the documents that ``(node, n, token)`` joins by short lists.
+
+    Lists of one document count as the shortest.  Of each document's lists the ``aside``
+    longest are left out.
+    """
+    shared = postings.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
+    kept = F.size("lists") - aside.cast("int")
+    short = (
+        postings.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("length", "token"))).alias("lists"))
+        .where(kept > 0).select("node", F.explode(F.slice("lists", F.lit(1), kept)["token"]).alias("token"))
+    )
+    short = scratch.save(short)
+    lead = short.groupBy("token").agg(F.min("node").alias("lead"))
+    cluster = scratch.save(components(short.join(lead, "token").select(F.col("node").alias("u"), F.col("lead").alias("v")), scratch))
+    return scratch.save(cluster.join(cluster.groupBy("component").agg(F.count("*").alias("size")), "component"))
+
+
 def jaccard_components(
     spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, block: int = 64, filter_bits: int = BITS
 ) -> tuple[DataFrame, DataFrame]:
@@ -232,18 +264,12 @@ def jaccard_components(
         .groupBy("doc_id", "h1", "h2").agg(F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
     )
     postings = one.select(F.col("doc_id").alias("node"), "n", F.explode("tokens").alias("token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
-    fewest = F.floor(F.ceil(F.col("n") * percent / F.lit(100)) / 10).cast("int")
-    short = (
-        postings.join(shared, "token").groupBy("node", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("length", "token"))).alias("lists"))
-        .where(F.size("lists") > fewest)
-        .select("node", F.slice("lists", F.lit(1), F.size("lists") - fewest).alias("lists"))
-    )
-    short = scratch.save(short.select("node", F.explode("lists.token").alias("token")))
-    lead = short.groupBy("token").agg(F.min("node").alias("lead"))
-    cluster = scratch.save(components(short.join(lead, "token").select(F.col("node").alias("u"), F.col("lead").alias("v")), scratch))
-    sized = scratch.save(cluster.join(cluster.groupBy("component").agg(F.count("*").alias("size")), "component"))
+    least = F.ceil(F.col("n") * percent / F.lit(100))
+    sized = _clusters(postings, F.floor(least / 10), scratch)
+    crowded = sized.where(f"size > {block}").select("node")
+    every = _full_sets(spark, docs, crowded, width, filter_bits).join(crowded, "node").distinct()
+    every = every.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    sized = scratch.save(sized.where(f"size <= {block}").unionByName(_clusters(every, least - 1, scratch)))
     links = scratch.save(_search(spark, docs, _mingled(sized, block), width, percent, filter_bits))
     label = components(links, scratch).select("node", F.col("component").alias("label"))
     late = scratch.save(_strangers(scratch, sized.where(f"size > {block}").join(label, "node", "left"), block))
