@@ -51,8 +51,8 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_tokens, ids, intact)`` of each document; intact if the ids decode to its text."""
     import public_tokenizers
 
-    out = encode(spark, docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=True)
-    return out.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.encode("text", "UTF-8")).alias("intact"))
+    out = encode(spark, docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids", "intact")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
