@@ -203,7 +203,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, least_words: int = 8, k
         .join(texts.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("text").alias("earlier")), ["other_doc", "other_line"])
         .select("whole", "text", "earlier").mapInArrow(_verified, "whole long").distinct().withColumn("near", F.lit(True))
     )
-    fate = own.join(checked, "whole", "left")
+    fate = scratch.save(own.join(checked, "whole", "left"))  # so that a hot line's rows can be split in the join
     return (
         lines.join(fate, "whole").withColumn("gone", F.col("near").isNotNull() | (F.struct("doc_id", "line") > F.col("place")))
         .groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed"))
