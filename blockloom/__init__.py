@@ -1 +1 @@
-
+"""Block analytics and archival on Spark DataFrames."""

@@ -1 +1 @@
-
+"""DataFrame operators over members and blocks."""

@@ -1 +1 @@
-
+"""Engines, trials, archives and scores."""

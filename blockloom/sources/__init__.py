@@ -1 +1 @@
-
+"""Members from files and tables, and back."""

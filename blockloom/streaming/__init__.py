@@ -1 +1 @@
-
+"""Blocks from streams."""
