@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from pathlib import Path
-from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,7 +58,6 @@ def scan_tree(spark: SparkSession, root: str, output: str | None = None) -> Data
     if not top.is_dir():
         raise ValueError(f"not a folder: {root}")
     label = check_name(top.resolve().name)
-    prefix = top.absolute().as_uri().replace("file:///", "file:/").rstrip("/")
     kept = []
     for folder, inner, files in os.walk(top):
         inner[:] = sorted(d for d in inner if not os.path.islink(os.path.join(folder, d)) and not (output and same_path(os.path.join(folder, d), output)))
@@ -68,16 +66,17 @@ def scan_tree(spark: SparkSession, root: str, output: str | None = None) -> Data
         return spark.createDataFrame([], "member_id long, name string, content binary, raw_len long")
     names = spark.createDataFrame([(str(Path(k).relative_to(top)),) for k in kept], "rel string")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(top.absolute()))
-    rel = F.substring(F.url_decode(F.regexp_replace("path", "\\+", "%2B")), len(unquote(prefix)) + 2, 1 << 30)
-    found = df.withColumn("rel", rel).join(F.broadcast(names), "rel", "left_semi")
-    return _numbered(found.select(F.concat(F.lit(label + "/"), "rel").alias("name"), "content", F.col("length").alias("raw_len")), spark)
+    body = df.select(F.substring("path", len(f"file:{top.absolute()}/") + 1, 1 << 30).alias("rel"), "content")
+    found = names.join(body, "rel", "left").withColumn("content", F.coalesce("content", F.lit(b"")))  # the reader leaves out empty files
+    return _numbered(found.select(F.concat(F.lit(label + "/"), "rel").alias("name"), "content", F.octet_length("content").cast("long").alias("raw_len")), spark)
 
 
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Non-empty files right in a folder, without archives of this package: what a bench measures."""
-    df = spark.read.format("binaryFile").load(str(Path(root).absolute()) + "/*")
-    name = F.element_at(F.split(F.url_decode(F.regexp_replace("path", "\\+", "%2B")), "/"), -1)
-    return _numbered(df.where("length > 0").select(name.alias("name"), "content", F.col("length").alias("raw_len")).where(~F.col("name").endswith(SUFFIX)), spark)
+    top = str(Path(root).absolute())
+    df = spark.read.format("binaryFile").load(top + "/*").withColumn("name", F.substring("path", len(f"file:{top}/") + 1, 1 << 30))
+    right = (F.col("length") > 0) & ~F.contains("name", F.lit("/")) & ~F.col("name").endswith(SUFFIX)
+    return _numbered(df.where(right).select("name", "content", F.col("length").alias("raw_len")), spark)
 
 
 def from_table(df: DataFrame, key: str, data: Column | str, name: Column | None = None) -> DataFrame:
