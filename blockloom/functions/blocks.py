@@ -17,6 +17,11 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def byte_list(data: Column | str) -> Column:
     """The bytes of a binary column as an array of two-digit hex strings."""
     return F.regexp_extract_all(F.hex(as_column(data)), F.lit("(..)"), F.lit(1))
@@ -114,13 +119,14 @@ def looks_like_csv(text: Column) -> Column:
     sample = head(text)
     by = delimiter(text)
     lines = F.slice(F.filter(F.transform(F.split(sample, "\n"), lambda x: F.regexp_replace(x, "\\r$", "")), lambda x: x != ""), 1, 16)
-    counts = F.transform(lines, lambda x: field_count(x, by))
-    same = F.size(F.filter(counts, lambda x: x == F.get(counts, F.lit(0))))
-    return (
+    even = lambda n: (
+        (F.size(n) >= 2) & F.coalesce(F.get(n, F.lit(0)) >= 2, F.lit(False)) & (2 * F.size(F.filter(n, lambda x: x == F.get(n, F.lit(0)))) >= F.size(n))
+    )
+    likely = (
         (F.octet_length(text) >= 32) & ~first_solid(text).isin("{", "[", "<") & (F.octet_length(sample) == F.length(sample))
-        & (F.greatest(occurrences(sample, ","), occurrences(sample, "\t")) >= 4) & (F.size(lines) >= 2)
-        & F.coalesce(F.get(counts, F.lit(0)) >= 2, F.lit(False)) & (2 * same >= F.size(counts))
+        & (F.greatest(occurrences(sample, ","), occurrences(sample, "\t")) >= 4)
     )
+    return F.when(likely, let(by, lambda d: let(F.transform(lines, lambda x: field_count(x, d)), even))).otherwise(F.lit(False))
 
 
 def looks_like_xml(text: Column) -> Column:

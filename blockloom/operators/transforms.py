@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import as_column, byte_list
+from ..functions.blocks import as_column, byte_list, let
 from ..kernels import codecs, coding, matching, transforms
 
 KERNELS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
@@ -101,7 +101,8 @@ def bwt_rows(df: DataFrame, key: str, data: str) -> DataFrame:
 
 def previous_grams(df: DataFrame, key: str, data: str, width: int = 4) -> DataFrame:
     """``(key, pos, distance)``: how far back each run of ``width`` bytes was last seen."""
-    h, n = F.hex(as_column(data)), F.octet_length(data)
-    grams = F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), lambda i: F.substring(h, i * 2 + 1, F.lit(2 * width)))).otherwise(F.array().cast("array<string>"))
+    n = F.octet_length(data)
+    each = lambda b: F.transform(F.sequence(F.lit(0), n - width), lambda i: F.concat(*(F.get(b, i + k) for k in range(width))))
+    grams = F.when(n >= width, let(byte_list(data), each)).otherwise(F.array().cast("array<string>"))
     at = df.select(key, F.posexplode(grams).alias("pos", "gram"))
     return at.select(key, "pos", (F.col("pos") - F.lag("pos").over(Window.partitionBy(key, "gram").orderBy("pos"))).alias("distance"))

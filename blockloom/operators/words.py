@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocks import as_column
+from ..functions.blocks import as_column, let
 from ..kernels import lexicon
 
 #: A run of bytes other than blanks, NUL and ASCII punctuation; on characters, the same runs.
@@ -77,6 +77,6 @@ def savings(counts: DataFrame, table: DataFrame) -> DataFrame:
 
 def word_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(previous, word, n)`` over neighbouring words of a text."""
-    w = words_of(text)
-    pairs = F.transform(w, lambda x, i: F.struct(F.get(w, i - 1).alias("previous"), x.alias("word")))
-    return docs.select(F.explode(pairs).alias("p")).where("p.previous is not null").groupBy(F.col("p.previous").alias("previous"), F.col("p.word").alias("word")).agg(F.count("*").alias("n"))
+    both = lambda w: F.arrays_zip(F.slice(w, F.lit(1), F.size(w) - 1).alias("previous"), F.slice(w, F.lit(2), F.size(w) - 1).alias("word"))
+    pairs = let(words_of(text), lambda w: F.when(F.size(w) >= 2, both(w)))
+    return docs.select(F.explode(pairs).alias("p")).groupBy(F.col("p.previous").alias("previous"), F.col("p.word").alias("word")).agg(F.count("*").alias("n"))
