@@ -52,6 +52,7 @@ def base_spans(text: Column) -> Column:
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     """Log-likelihood ratios of character pairs from ``(token, random)`` samples.
 
+    A pair is smoothed by how often its second character occurs at all in samples of its kind.
     At most ``2 * SIZE ** 2`` counts come to the driver.  Characters outside the alphabet
     share one place.  Without samples every ratio is 0.
     """
@@ -62,11 +63,14 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
         .agg(F.count("*").alias("n")).collect()
     )
     count = {(bool(r["random"]), r["a"], r["b"]): r["n"] for r in rows}
-    ratio = []
+    ratio, weight = [], smoothing * SIZE
+    single = {kind: [sum(count.get((kind, a, b), 0) for a in range(SIZE)) + smoothing for b in range(SIZE)] for kind in (True, False)}
     for a in range(SIZE):
-        total = [sum(count.get((kind, a, b), 0) for b in range(SIZE)) + smoothing * SIZE for kind in (True, False)]
+        total = {kind: sum(count.get((kind, a, b), 0) for b in range(SIZE)) + weight for kind in (True, False)}
         for b in range(SIZE):
-            random, plain = ((count.get((kind, a, b), 0) + smoothing) / t for kind, t in zip((True, False), total))
+            random, plain = (
+                (count.get((kind, a, b), 0) + weight * single[kind][b] / sum(single[kind])) / total[kind] for kind in (True, False)
+            )
             ratio.append(math.log(random / plain))
     return ratio
 
@@ -112,7 +116,7 @@ def corpus_samples(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
     return plain.unionByName(found).unionByName(made)
 
 
-def scan(docs: DataFrame, ratio: list[float], total: float = 15.0, mean: float = 1.2) -> DataFrame:
+def scan(docs: DataFrame, ratio: list[float], total: float = 15.0, mean: float = 2.0) -> DataFrame:
     """docs with ``base`` and ``found``: arrays of (start, kind, end), kinds 0-2 by pattern, 3 by model.
 
     docs needs text; other columns pass, ones named like a result are replaced.  A null text
