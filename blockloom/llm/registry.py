@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import sql
 from .byte_bpe import op5_byte_bpe
 from .decontaminate import op1_decontaminate
 from .html_text import op6_html_text
@@ -26,4 +27,9 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_jaccard_join": sql.JACCARD,
+    "op8_line_dedup": sql.LINES,
+    "op9_quality_rules": sql.RULES,
+    "op10_substring_dedup": sql.SUBSTRINGS,
+}
