@@ -65,3 +65,38 @@ j AS (SELECT k.doc_id, k.line, (k.doc_id, k.line) > d.place OR near.x IS NOT NUL
 SELECT doc_id, count(j.line) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(j.line::VARCHAR, ',' ORDER BY j.line) FILTER (gone), '') AS removed
 FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN j USING (doc_id) GROUP BY doc_id
 """
+
+_LINK = "(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"']?\\s*((?:https?:)?//[^\"'\\s>]+)"
+
+
+def _ranks(name: str, seed: str, source: str, target: str, rounds: int = 10) -> str:
+    """Rounds of personalised PageRank over ``edges``, one common table after another."""
+    out = f"{name}_w AS (SELECT {source} AS a, {target} AS b, n / sum(n) OVER (PARTITION BY {source}) AS w FROM edges),\n"
+    out += f"{name}_s AS (SELECT host, {seed} AS seed FROM hosts WHERE {seed} > 0),\n{name}_0 AS (SELECT host, seed AS score FROM {name}_s),\n"
+    for k in range(rounds):
+        out += (
+            f"{name}_{k + 1} AS (SELECT host, sum(score) AS score FROM (SELECT b AS host, {name}_{k}.score * w * 0.85 AS score FROM {name}_{k} JOIN {name}_w ON a = host "
+            f"UNION ALL SELECT host, seed FROM {name}_s) GROUP BY host),\n"
+        )
+    return out
+
+
+URLS = (
+    f"""
+WITH u AS (SELECT page_id, coalesce(html, '') AS html, regexp_matches(coalesce(url, ''), '://') AS has, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['host', 'path']) AS x FROM pages),
+p AS (SELECT page_id, html, translate(x.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, x.path AS path FROM u),
+rules(verdict, name, prefix) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fits AS (SELECT page_id, name || prefix AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(name || prefix) DESC) AS r
+  FROM p JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, prefix)),
+j AS (SELECT p.page_id, host, path, rule, verdict FROM p LEFT JOIN fits ON fits.page_id = p.page_id AND r = 1),
+hosts AS (SELECT host, count(*) FILTER (verdict = 'allow') / (count(*) + 1) AS good, count(*) FILTER (verdict = 'block') / (count(*) + 1) AS bad FROM j WHERE host <> '' GROUP BY host),
+links AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '{_LINK.replace("'", "''")}', 1))) AS url FROM p),
+ends AS (SELECT src, translate(regexp_extract(url, '//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM links),
+edges AS (SELECT src, dst, count(*) AS n FROM ends WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+"""
+    + _ranks("trust", "good", "src", "dst")
+    + _ranks("distrust", "bad", "dst", "src")
+    + """bad AS (SELECT host FROM distrust_10 LEFT JOIN (SELECT host, score AS trust FROM trust_10) USING (host) WHERE score > 0.5 AND score > coalesce(trust, 0))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM j
+"""
+)
