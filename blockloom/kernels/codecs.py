@@ -19,7 +19,7 @@ from .framing import get_varint, pack, put_varint, unpack
 from .matching import cut_runs, fill_runs, parse, read_runs, wire_decode, wire_encode, write_runs
 from .transforms import CorruptBlock
 
-BYTE_LANES, BIT_LANES = 16, 32
+BYTE_LANES, BIT_LANES = 16, 128
 #: Sizes below which trials are not worth their time, and their cap on entropy.
 STRUCTURED_FLOOR, PLAIN_FLOOR, TRIAL_BITS = 256 << 10, 1 << 20, 7.2
 

@@ -14,7 +14,7 @@ from .coding import SCALE, Decoder, Encoder
 # Sizes, thresholds and rates of the models.
 ROWS, COUNT_CAP = 4096, 256
 LEAST1, LEAST2, LEAST3 = 2, 4, 6
-TABLE_BITS, RATE, DECAY = 14, 0.02, 0.995
+TABLE_BITS, RATE, DECAY = 13, 0.02, 0.995
 _HASH = 0x9E3779B1
 
 

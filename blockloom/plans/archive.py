@@ -40,7 +40,9 @@ def encode(blocks: DataFrame, mode: str, words: list[bytes], floor: int = codecs
     text = F.when(F.col("kind") == "Text", F.decode("raw", "ISO-8859-1"))
     ready = blocks.select("member_id", "block_id", "start", "kind", block_ops.structure_of(text).alias("structure"), F.crc32("raw").alias("crc32"), "raw")
     if mode != "wire":  # coding takes far longer than moving the bytes to idle cores
-        ready = ready.repartition(4 * blocks.sparkSession.sparkContext.defaultParallelism, F.xxhash64("member_id", "block_id"))
+        spark = blocks.sparkSession
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        ready = ready.repartition(parts, F.xxhash64("member_id", "block_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

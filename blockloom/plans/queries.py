@@ -462,9 +462,9 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _archive(mode: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Every document coded under a mode and decoded again."""
+        """Every document coded under a mode and decoded again; bit mixing in short blocks, many at once."""
         members = from_table(table(spark, sf_dir, "documents"), "doc_id", "text")
-        coded, found = archive.compress(members, mode=mode)
+        coded, found = archive.compress(members, mode=mode, window=4096 if mode in ("slow", "hybrid") else 1 << 20)
         back = archive.decompress(coded, members, found)
         return back.select(F.col("member_id").alias("doc_id"), F.octet_length("content").cast("long").alias("n"), F.md5("content").alias("digest"))
 
