@@ -138,7 +138,6 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, keep_t
     marked = hash_bitmap(spark, twice, "anchor", anchor_bits)
     windows = named.mapInArrow(lambda it: repeated_windows(it, width, marked, anchor_bits), "window long, doc_id long, start int")
     first = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
-    first = scratch.save(first.select("window", "first"))  # so that a hot window's rows can be split in the join
     later = windows.join(first, "window").where(F.struct("doc_id", "start") > F.col("first"))
     starts = scratch.save(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
 
