@@ -261,7 +261,7 @@ def test_tokens(spark, texts):
         assert r["ids"] == reference.encode_ordinary(t) and bytes(r["decoded"]) == t.encode() and r["intact"] and r["n_tokens"] == len(r["ids"])
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdeé漢") for _ in range(rng.randint(1, 20))) for _ in range(150)]
-    table = byte_bpe.rank_table(spark, ranks)
+    table = byte_bpe.rank_table(ranks)
     folded = spark.createDataFrame([(w, w.encode().hex().upper()) for w in words], "w string, h string").select("w", byte_bpe.merged(F.col("h"), table).alias("ids"))
     for r in folded.collect():
         body = r["w"].encode()
