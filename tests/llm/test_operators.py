@@ -293,6 +293,23 @@ def test_leaks(spark):
     assert len({(r["doc_id"], r["item_id"]) for r in small.collect()} & want) >= 0.9 * len(want)
 
 
+def test_leaks_that_are_copied_often(spark):
+    rng = random.Random(9)
+    items = [(k, prose(rng, 30, 3000)) for k in range(5)]
+    leak = prose(rng, 20, 3000) + " " + items[0][1] + " " + prose(rng, 20, 3000)
+    rows = [(k, leak) for k in range(60)] + [(100 + k, leak + f" end{k}") for k in range(60)] + [(200 + k, prose(rng, 150, 3000)) for k in range(60)]
+    rows += [(300, prose(rng, 40, 3000) + " " + items[0][1]), (301, items[1][1])]
+    out = decontaminate.find_leaks(spark, frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in out.collect()} == {(i, 0) for i, _ in rows[:120]} | {(300, 0), (301, 1)}
+
+
+def test_leaks_of_a_small_table(spark):
+    rows = [(1, "before it the small brown dog sat by the door after it"), (2, "nothing of that kind"), (3, "x y z"), (4, "x z y w"), (5, "the the the the the the the the the the")]
+    items = [(7, "the small brown dog sat by the door"), (8, "x y z"), (9, "the the the the the the the the the the"), (10, "!?")]
+    out = decontaminate.find_leaks(spark, frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["share"]) for r in out.collect()} == {(1, 7, 1.0), (3, 8, 1.0), (5, 9, 1.0)}
+
+
 def test_random_svd_spans_what_numpy_finds(spark):
     rng = np.random.default_rng(3)
     rows = [rng.integers(1, 40, 12).tolist() for _ in range(60)]
