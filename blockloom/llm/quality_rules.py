@@ -2,7 +2,8 @@
 
 Base rules look at one text: too few words, or too many words inside repeated three-word
 windows.  The line rule looks across documents: a normalised line that many different texts of
-one host share is furniture of that host; a document that is mostly such lines is rejected.
+one host share is furniture of that host.  Such lines are cut from the text, and a document
+that is mostly such lines is rejected.
 """
 
 from __future__ import annotations
@@ -107,31 +108,63 @@ def furniture(lines: DataFrame, share: float, least_docs: int) -> DataFrame:
     return often.join(total, "host").where(F.col("texts") > share * F.col("all")).select("host", "line")
 
 
-def depleted_documents(docs: DataFrame, scratch: Scratch, share: float = 0.1, least_docs: int = 20, loss: float = 0.5) -> DataFrame:
-    """doc_ids that lose over ``loss`` of their words with the lines above the limits."""
+def furnished_documents(docs: DataFrame, scratch: Scratch, share: float = 0.1, least_docs: int = 20, loss: float = 0.5) -> DataFrame:
+    """``(doc_id, furniture, depleted)`` of documents with lines above the limits: hashes of these
+    lines, each with its host, and whether over ``loss`` of the document's words are in them.
+    """
     lines = scratch.save(host_lines(docs.where("doc_id is not null")))
     common = scratch.save(furniture(lines, share, least_docs))
-    lost = (
+    hit = F.when(F.col("common") == 1, F.xxhash64("host", "line"))
+    return scratch.save(
         lines.join(common.withColumn("common", F.lit(1)), ["host", "line"], "left")
-        .groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("common") == 1, F.col("n"))).alias("lost"))
+        .groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("common") == 1, F.col("n"))).alias("lost"), F.collect_set(hit).alias("furniture"))
+        .where("lost is not null").select("doc_id", "furniture", (F.col("lost") > loss * F.col("n")).alias("depleted"))
+    )
+
+
+def depleted_documents(docs: DataFrame, scratch: Scratch, share: float = 0.1, least_docs: int = 20, loss: float = 0.5) -> DataFrame:
+    """doc_ids that lose over ``loss`` of their words with the lines above the limits."""
+    return furnished_documents(docs, scratch, share, least_docs, loss).where("depleted").select("doc_id")
+
+
+def without_furniture(text: Column, source: Column, furniture: Column) -> Column:
+    """The text without its lines in ``furniture``; the other lines, blank ones too, keep their order."""
+    host = F.coalesce(source.cast("string"), F.lit(""))
+    kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(furniture, F.xxhash64(host, F.xxhash64(normal_line(x)))))
+    return F.when(F.size(furniture) > 0, F.array_join(kept, "\n")).otherwise(text)
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, share: float = 0.1, least_docs: int = 20, loss: float = 0.5) -> DataFrame:
+    """The documents that are not depleted and whose text, without the lines above the limits,
+    passes the base rules, with that text and its ``n_chars``.
+
+    A row of null doc_id keeps its lines and is judged by the base rules alone.  A text of which
+    no line is cut stays as it is, and so does its ``n_chars``.
+    """
+    found = furnished_documents(docs.select("doc_id", "text", "source"), Scratch(spark), share, least_docs, loss)
+    cut = (
+        docs.join(found.select("doc_id", F.col("furniture").alias("__furniture"), F.col("depleted").alias("__depleted")), "doc_id", "left")
+        .where("not coalesce(__depleted, false)").withColumn("text", without_furniture(F.col("text"), F.col("source"), F.col("__furniture")))
+        .withColumn("n_chars", F.when(F.col("__furniture").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     )
-    return scratch.save(lost.where(F.col("lost") > loss * F.col("n")).select("doc_id"))
+    return text_statistics(cut.select(*docs.columns)).where("not base_failed").select(*docs.columns)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, share: float = 0.1, least_docs: int = 20, loss: float = 0.5) -> DataFrame:
-    """docs with the counts, ``base_failed`` and ``kept``.
+    """docs with the counts, ``base_failed`` and ``kept``, and text without the lines above the limits.
 
     docs needs doc_id, text and source (the host); further columns pass through, except that
     a column named like a result is replaced.  A null text has no words and fails; a null
     source is one host of its own; a row of null doc_id is judged by the base rules alone.
-    Rows that repeat a doc_id are depleted together.  An empty table gives an empty result.
+    The counts are of the text as it was given.  Rows that repeat a doc_id are depleted together.  An empty table gives an empty result.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "body", "words", "lines", "depleted"]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "body", "words", "lines", "depleted", "furniture"]
     docs = docs.drop(*[c for c in docs.columns if c in made])
-    gone = depleted_documents(docs.select("doc_id", "text", "source"), Scratch(spark), share, least_docs, loss)
+    found = furnished_documents(docs.select("doc_id", "text", "source"), Scratch(spark), share, least_docs, loss)
     return (
-        text_statistics(docs).join(gone.withColumn("depleted", F.lit(True)), "doc_id", "left")
-        .withColumn("kept", ~F.col("base_failed") & F.col("depleted").isNull()).drop("depleted")
+        text_statistics(docs).join(found, "doc_id", "left")
+        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False)))
+        .withColumn("text", without_furniture(F.col("text"), F.col("source"), F.col("furniture"))).drop("depleted", "furniture")
     )
 
 
