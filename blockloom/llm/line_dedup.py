@@ -212,18 +212,19 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, least_words: int = 8, k
     )
 
 
-def without_lines(docs: DataFrame, removed: DataFrame, left: float = 0.5) -> DataFrame:
+def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """docs with the ``removed`` lines of ``(doc_id, n_lines, removed)`` cut from text.
 
-    A document of which less than ``left`` of its characters remain is a copy with a few
-    changes and is dropped; one without any line to remove stays as it is.  The other lines, blank ones too, keep their order; other columns pass through.
+    A document is dropped if all its lines with words are removed; one without any line to
+    remove stays as it is.  The other lines, blank ones too, keep their order; other columns
+    pass through.
     """
     cut = removed.select("doc_id", F.col("n_lines").alias("__lines"), F.col("removed").alias("__removed"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
     changed = F.when(F.size("__removed") > 0, kept).otherwise(F.col("text"))
     return (
         docs.join(cut, "doc_id", "left").withColumn("__kept", changed)
-        .where(F.coalesce((F.size("__removed") == 0) | (F.size("__removed") < F.col("__lines")) & (F.length("__kept") >= left * F.length("text")), F.lit(True)))
+        .where(F.coalesce((F.size("__removed") == 0) | (F.size("__removed") < F.col("__lines")), F.lit(True)))
         .withColumn("text", F.col("__kept")).select(*docs.columns)
     )
 

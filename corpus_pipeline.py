@@ -32,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that came before; those with less than half left go."""
+    """Documents without the lines that came before; those with no line of words left go."""
     removed = Scratch(spark).save(repeated_lines(spark, docs).where(F.size("removed") > 0))
     return without_lines(docs, removed).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -152,6 +152,13 @@ def test_lines(spark):
     assert kept[200] is None and kept[201] == "\n \n" and kept[202] == "a b\n"
 
 
+def test_documents_keep_their_own_lines(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long), (2, f"{long}\nown line"), (3, f"\n{long}\n"), (4, f"own line\n{long}\n\nanother one")]
+    out = line_dedup.without_lines(frame(spark, rows), line_dedup.repeated_lines(spark, frame(spark, rows)))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: long, 2: "own line", 4: "\nanother one"}
+
+
 def test_quality_rules(spark, texts):
     rows = texts + [(800 + k, "site menu home about contact " * 9 + "\n" + " ".join(f"u{k}x{j}" for j in range(5))) for k in range(40)] + [(900, "a b " * 100)]
     out = quality_rules.apply_rules(spark, frame(spark, rows)).collect()
