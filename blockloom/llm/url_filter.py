@@ -103,8 +103,11 @@ def judge(
     share = lambda v: F.count(F.when(F.col("ruling") == v, 1)) / (F.count("*") + 1)
     hosts = scratch.save(ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")))
     edges = scratch.save(host_edges(parts))
-    trust = pagerank(hosts.where("good > 0").select("host", F.col("good").alias("seed")), scratch.save(weighted(edges, "src")), scratch, damping, rounds)
-    distrust = pagerank(hosts.where("bad > 0").select("host", F.col("bad").alias("seed")), scratch.save(weighted(edges, "dst")), scratch, damping, rounds)
+    forward = scratch.save(weighted(edges, "src"))
+    # A host takes distrust by the share of its own links, so that it does not matter how many others link there too.
+    backward = forward.select(F.col("to").alias("from"), F.col("from").alias("to"), "weight")
+    trust = pagerank(hosts.where("good > 0").select("host", F.col("good").alias("seed")), forward, scratch, damping, rounds)
+    distrust = pagerank(hosts.where("bad > 0").select("host", F.col("bad").alias("seed")), backward, scratch, damping, rounds)
     scores = scratch.save(
         trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
         .select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

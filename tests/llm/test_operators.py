@@ -256,6 +256,16 @@ def test_urls(spark):
     assert out[20]["verdict"] == "block" and out[20]["distrust"] == pytest.approx(0.85 * 5 / 7) and out[21]["trust"] == pytest.approx(0.85 * 5 / 6)
 
 
+def test_many_linkers_of_a_blocked_host(spark):
+    bad = [(k, f"http://bad.net/es/{k}", "") for k in range(9)]
+    link = '<a href="//bad.net/es/1">'
+    for n in (1, 2, 40):
+        rows = bad + [(100 + k, f"http://farm{k}.org/", link) for k in range(n)] + [(900, "http://news.org/", link + "".join(f'<a href="//o{k}.org/">' for k in range(9)))]
+        out = {r["page_id"]: r for r in url_filter.judge(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert all(out[100 + k]["verdict"] == "block" and out[100 + k]["distrust"] == pytest.approx(0.85 * 0.9) for k in range(n))
+        assert out[900]["verdict"] == "allow" and out[900]["distrust"] == pytest.approx(0.85 * 0.9 / 10)
+
+
 def test_pages():
     page = (
         "<html><head><title>T</title><script>var t='</p>';</script></head><body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav>"
