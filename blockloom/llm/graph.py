@@ -33,10 +33,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         maps.append(step)
         left = step.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         right = step.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        live = scratch.save(
+        before, live = live, scratch.save(
             live.join(left, "u").join(right, "v").where("ru <> rv")
             .select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
         )
+        scratch.drop(before)
     if not maps:
         return live.select(F.col("u").alias("node"), F.col("v").alias("component"))
     label = maps[0]
@@ -44,5 +45,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         up = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
         label = label.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
     label = scratch.save(label)
+    scratch.drop(*maps)
     least = label.groupBy("root").agg(F.min("node").alias("component"))
     return label.join(least, "root").select("node", "component")

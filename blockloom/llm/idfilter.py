@@ -13,6 +13,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import free_name
+
 BITS = 23
 
 
@@ -60,15 +62,16 @@ def holds(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def drop_ids(spark: SparkSession, docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is not among ids; rows of null id stay.
+    """Rows of docs whose id is not among ids; rows of null id stay, and all columns, whatever their names.
 
     Rows whose id the bitmap rules out go straight through; only the rest, about as many as
     there are ids, meet the ids in an exact anti-join.
     """
     bitmap = id_bitmap(spark, ids, column)
-    ready = docs.withColumn("__bit", F.coalesce(bit_of(column), F.lit(-1)))
-    inside = _bit_set(bitmap)("__bit")
-    may = ready.where(inside).drop("__bit").join(ids.select(column).distinct(), column, "left_anti").select(*docs.columns)
+    name = free_name("bit", docs.columns)
+    ready = docs.withColumn(name, F.coalesce(bit_of(column), F.lit(-1)))
+    inside = _bit_set(bitmap)(name)
+    may = ready.where(inside).drop(name).join(ids.select(column).distinct(), column, "left_anti").select(*docs.columns)
     return ready.where(~inside).select(*docs.columns).unionByName(may)
 
 

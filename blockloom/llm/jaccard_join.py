@@ -283,6 +283,7 @@ def jaccard_components(
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by :func:`jaccard_components`, whose docstring defines nulls, empties, ties and repeats."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     member, _ = jaccard_components(spark, docs, width=4, percent=85)
     return member.select("doc_id", "n_shingles", "component_id")

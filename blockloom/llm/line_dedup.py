@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .idfilter import bit_of, hash_bitmap, holds, id_bitmap, passing
-from .scratch import Scratch
+from .scratch import Scratch, free_name
 from .text import Words, chunks, mix, powers, signed, split_words
 
 KEY_BITS = 26
@@ -217,18 +217,19 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
 
     A document is dropped if all its lines with words are removed; one without any line to
     remove stays as it is.  The other lines, blank ones too, keep their order; other columns
-    pass through.
+    pass through, whatever their names.
     """
-    cut = removed.select("doc_id", F.col("n_lines").alias("__lines"), F.col("removed").alias("__removed"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    changed = F.when(F.size("__removed") > 0, kept).otherwise(F.col("text"))
+    lines, gone = free_name("lines", docs.columns), free_name("gone", docs.columns)
+    cut = removed.select("doc_id", F.col("n_lines").alias(lines), F.col("removed").alias(gone))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     return (
-        docs.join(cut, "doc_id", "left").withColumn("__kept", changed)
-        .where(F.coalesce((F.size("__removed") == 0) | (F.size("__removed") < F.col("__lines")), F.lit(True)))
-        .withColumn("text", F.col("__kept")).select(*docs.columns)
+        docs.join(cut, "doc_id", "left")
+        .where(F.coalesce((F.size(gone) == 0) | (F.size(gone) < F.col(lines)), F.lit(True)))
+        .withColumn("text", F.when(F.size(gone) > 0, kept).otherwise(F.col("text"))).select(*docs.columns)
     )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the repeated lines of all documents by :func:`repeated_lines`, whose docstring defines nulls, empties, ties and repeats."""
     out = repeated_lines(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))

@@ -114,7 +114,8 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out:
     docs needs doc_id and text, labels doc_id and label (0 or 1; others are ignored); further
     columns are ignored.  ``held_out`` is a condition on doc_id; such rows, and rows of null
     doc_id, are scored but never learnt from.  Rows that repeat a doc_id are scored each by
-    its own text.  An empty table gives an empty result.
+    its own text, an empty or null one too; a score of just 0.5 predicts 1.  An empty table
+    gives an empty result.
     """
     stats = Scratch(spark).save(statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))
     learnt = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
@@ -126,6 +127,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by :func:`classify`, whose docstring defines nulls, empties, ties and repeats."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("quality", "label")
     return classify(spark, docs, labels, F.crc32(F.col("doc_id").cast("string")) % 3 == 1)

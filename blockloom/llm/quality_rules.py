@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, free_name
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
+PACKED = 1 << 12
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def words_of(text: Column) -> Column:
@@ -25,27 +27,33 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words lie in a three-word window that occurs twice or more.
 
-    Window hash and place share one long: as many low bits hold the place as the text needs,
-    the rest hold the hash, and one primitive sort brings equal windows together.
+    In texts of up to PACKED words, window hash and place share one long: as many low bits hold
+    the place as the text needs, the rest, 52 at least, hold the hash, and one primitive sort
+    brings equal windows together.  Longer texts keep the whole hash beside the place.
     """
     n = F.size(words)
 
-    def count(h: Column) -> Column:
-        bits = F.length(F.bin(F.size(h).cast("long")))
-        packed = F.sort_array(F.transform(h, lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("long"))))
-        group = lambda x: F.call_function("shiftright", x, bits)
+    def covered(sorted_rows: Column, group, place) -> Column:
         twin = lambda s, x, i: (
             (group(F.get(s, i - 1)) == group(x)) | (group(F.get(s, i + 1)) == group(x))
         )
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        return _let(packed, lambda s: _let(
-            F.sort_array(F.transform(F.filter(s, lambda x, i: F.coalesce(twin(s, x, i), F.lit(False))), lambda x: x.bitwiseAND(mask))),
+        return _let(sorted_rows, lambda s: _let(
+            F.sort_array(F.transform(F.filter(s, lambda x, i: F.coalesce(twin(s, x, i), F.lit(False))), place)),
             lambda at: F.aggregate(
                 F.transform(at, lambda x, i: F.least(F.coalesce(F.get(at, i + 1) - x, F.lit(3)), F.lit(3)).cast("long")),
                 F.lit(0).cast("long"), lambda a, x: a + x,
             ),
         ))
 
+    def count(h: Column) -> Column:
+        bits = F.length(F.bin(F.size(h).cast("long")))
+        packed = F.sort_array(F.transform(h, lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("long"))))
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+        whole = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))
+        return F.when(n <= PACKED, covered(packed, lambda x: F.call_function("shiftright", x, bits), lambda x: x.bitwiseAND(mask))).otherwise(
+            covered(whole, lambda x: x["h"], lambda x: x["i"])
+        )
+
     hashes = lambda w: F.transform(
         F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     )
@@ -57,24 +65,23 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, text`` with the counts of the base rules."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(F.col("body"), "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+def text_statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """docs with the counts of the base rules and ``base_failed``, each name after ``prefix``.
+
+    docs needs text; other columns pass, and must not be called like a result.
+    """
+    body, words, lines = (free_name(c, [*docs.columns, *(prefix + x for x in STATISTICS)]) for c in ("body", "words", "lines"))
+    solid = F.filter(F.split(F.col(body), "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    counts = {
+        "n_words": F.size(words), "word_chars": F.length(F.translate(body, SPACES, "")), "n_symbols": F.length(body) - F.length(F.translate(body, SYMBOLS, "")),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)), "n_repeat_words": repeated_words(F.col(words)),
+    }
+    n, repeats = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
     return (
-        docs.withColumn("body", text)
-        .withColumn("words", words_of(F.col("body")))
-        .withColumn("lines", lines)
-        .select(
-            "*",
-            F.size("words").cast("long").alias("n_words"),
-            F.length(F.translate("body", SPACES, "")).cast("long").alias("word_chars"),
-            (F.length("body") - F.length(F.translate("body", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-            repeated_words(F.col("words")).alias("n_repeat_words"),
-        )
-        .withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
-        .drop("body", "words", "lines")
+        docs.withColumn(body, F.coalesce(F.col("text"), F.lit(""))).withColumn(words, words_of(F.col(body))).withColumn(lines, solid)
+        .select("*", *(counts[c].cast("long").alias(prefix + c) for c in STATISTICS))
+        .withColumn(prefix + "base_failed", (n < 50) | (100 * repeats > 50 * n))
+        .drop(body, words, lines)
     )
 
 
@@ -138,16 +145,24 @@ def clean_documents(spark: SparkSession, docs: DataFrame, share: float = 0.1, le
     """The documents that are not depleted and whose text, without the lines above the limits,
     passes the base rules, with that text and its ``n_chars``.
 
-    A row of null doc_id keeps its lines and is judged by the base rules alone.  A text of which
-    no line is cut stays as it is, and so does its ``n_chars``.
+    docs needs doc_id, text, source and n_chars; all its columns pass, whatever their names.  A
+    null or empty text fails the base rules.  A row of null doc_id keeps its lines and is judged
+    by the base rules alone.  Rows that repeat a doc_id are depleted together.  A text of which
+    no line is cut stays as it is, and so does its ``n_chars``.  A line in just ``share`` of the
+    texts, or a document that loses just ``loss`` of its words, stays.  An empty table gives an
+    empty result.
     """
     found = furnished_documents(docs.select("doc_id", "text", "source"), Scratch(spark), share, least_docs, loss)
+    lines, depleted = free_name("furniture", docs.columns), free_name("depleted", docs.columns)
     cut = (
-        docs.join(found.select("doc_id", F.col("furniture").alias("__furniture"), F.col("depleted").alias("__depleted")), "doc_id", "left")
-        .where("not coalesce(__depleted, false)").withColumn("text", without_furniture(F.col("text"), F.col("source"), F.col("__furniture")))
-        .withColumn("n_chars", F.when(F.col("__furniture").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        docs.join(found.select("doc_id", F.col("furniture").alias(lines), F.col("depleted").alias(depleted)), "doc_id", "left")
+        .where(~F.coalesce(depleted, F.lit(False))).withColumn("text", without_furniture(F.col("text"), F.col("source"), F.col(lines)))
+        .withColumn("n_chars", F.when(F.col(lines).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     )
-    return text_statistics(cut.select(*docs.columns)).where("not base_failed").select(*docs.columns)
+    prefix = "rules_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return text_statistics(cut.select(*docs.columns), prefix).where(~F.col(prefix + "base_failed")).select(*docs.columns)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, share: float = 0.1, least_docs: int = 20, loss: float = 0.5) -> DataFrame:
@@ -156,19 +171,23 @@ def apply_rules(spark: SparkSession, docs: DataFrame, share: float = 0.1, least_
     docs needs doc_id, text and source (the host); further columns pass through, except that
     a column named like a result is replaced.  A null text has no words and fails; a null
     source is one host of its own; a row of null doc_id is judged by the base rules alone.
-    The counts are of the text as it was given.  Rows that repeat a doc_id are depleted together.  An empty table gives an empty result.
+    The counts are of the text as it was given.  Rows that repeat a doc_id are depleted together.
+    A line in just ``share`` of the texts, or a document that loses just ``loss`` of its words,
+    stays.  An empty table gives an empty result.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "body", "words", "lines", "depleted", "furniture"]
-    docs = docs.drop(*[c for c in docs.columns if c in made])
+    made = [*STATISTICS, "base_failed", "kept"]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
     found = furnished_documents(docs.select("doc_id", "text", "source"), Scratch(spark), share, least_docs, loss)
+    lines, depleted = free_name("furniture", docs.columns), free_name("depleted", docs.columns)
     return (
-        text_statistics(docs).join(found, "doc_id", "left")
-        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False)))
-        .withColumn("text", without_furniture(F.col("text"), F.col("source"), F.col("furniture"))).drop("depleted", "furniture")
+        text_statistics(docs).join(found.select("doc_id", F.col("furniture").alias(lines), F.col("depleted").alias(depleted)), "doc_id", "left")
+        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(depleted, F.lit(False)))
+        .withColumn("text", without_furniture(F.col("text"), F.col("source"), F.col(lines))).drop(lines, depleted)
     )
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents by :func:`apply_rules`, whose docstring defines nulls, empties, ties and repeats."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return apply_rules(spark, docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"

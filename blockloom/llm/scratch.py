@@ -2,31 +2,74 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Writers hold a row group of each task in memory.
+ROW_GROUP = 16 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``, which a session on a cluster must set.
+
+    In local mode, where driver and executors are one process, a temporary folder serves where
+    it is unset, until the process ends.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="blockloom-")
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="blockloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = "file://" + folder
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 class Scratch:
-    """Tables written once and read back, which cuts lineage and survives a lost executor."""
+    """Tables written once and read back, which cuts lineage and survives a lost executor.
+
+    Operators drop the tables that nothing reads any more; those that a result reads stay until
+    the process ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/blockloom-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
         self.count = 0
+        atexit.register(self._clean)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that :meth:`save` returned; nothing may read them any more."""
+        for table in tables:
+            self._delete(self.paths.pop(id(table))[1])
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _clean(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            self._delete(self.root)

@@ -119,9 +119,10 @@ def corpus_samples(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
 def scan(docs: DataFrame, ratio: list[float], total: float = 15.0, mean: float = 2.0) -> DataFrame:
     """docs with ``base`` and ``found``: arrays of (start, kind, end), kinds 0-2 by pattern, 3 by model.
 
-    docs needs text; other columns pass, ones named like a result are replaced.  A null text
-    counts as empty.  Places are code points, ends exclusive; each list is in order of start,
-    then kind.
+    docs needs text; other columns pass, ones named like a result are replaced.  A null
+    or empty text has empty lists.  Places are code points, ends exclusive; each list is in order
+    of start, then kind.  A run whose ratio is just ``total`` and ``mean`` is a secret.  Repeated
+    rows give repeated results, and an empty table an empty one.
     """
     docs = docs.drop("base", "found").withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
     more = markov_spans(F.coalesce("text", F.lit("")), F.col("base"), ratio, total, mean)
@@ -134,6 +135,7 @@ def _written(found: str) -> Column:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents by :func:`scan`, whose docstring defines nulls, empties, ties and repeats; the model learns from :func:`corpus_samples`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = scan(docs, train(corpus_samples(docs)))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")

@@ -151,6 +151,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, keep_t
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents by :func:`remove_repeats`, whose docstring defines nulls, empties, ties and repeats."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = remove_repeats(spark, docs, width=20, keep_text=False)
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))

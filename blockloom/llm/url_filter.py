@@ -121,4 +121,5 @@ def judge(
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages by :func:`judge`, whose docstring defines nulls, empties, ties and repeats."""
     return judge(spark, spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
