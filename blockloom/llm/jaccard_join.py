@@ -227,16 +227,20 @@ def _clusters(postings: DataFrame, aside: Column, scratch: Scratch) -> DataFrame
     Lists of one document count as the shortest.  Of each document's lists the ``aside``
     longest are left out.
     """
-    shared = postings.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
+    # Written, as lead below, so that the rows of a list that names many documents can be split in the join.
+    shared = scratch.save(postings.groupBy("token").agg(F.count("*").alias("length")).where("length > 1"))
     kept = F.size("lists") - aside.cast("int")
     short = (
         postings.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("length", "token"))).alias("lists"))
         .where(kept > 0).select("node", F.explode(F.slice("lists", F.lit(1), kept)["token"]).alias("token"))
     )
     short = scratch.save(short)
-    lead = short.groupBy("token").agg(F.min("node").alias("lead"))
+    scratch.drop(shared)
+    lead = scratch.save(short.groupBy("token").agg(F.min("node").alias("lead")))
     cluster = scratch.save(components(short.join(lead, "token").select(F.col("node").alias("u"), F.col("lead").alias("v")), scratch))
-    return scratch.save(cluster.join(cluster.groupBy("component").agg(F.count("*").alias("size")), "component"))
+    scratch.drop(short, lead)
+    size = scratch.save(cluster.groupBy("component").agg(F.count("*").alias("size")))
+    return scratch.save(cluster.join(size, "component"))
 
 
 def jaccard_components(

@@ -70,6 +70,14 @@ def _quarter_keys(sums: _Sums, start: np.ndarray, end: np.ndarray):
             yield sums.joined(start, start + a, end - (m - b), end, 8 + j), start + a, end - (m - b)
 
 
+def _earliest(whole: np.ndarray, ids: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Which lines are the earliest of their text in this chunk; the others have the same variants."""
+    order = np.lexsort((number, ids, whole))
+    first = np.zeros(len(whole), bool)
+    first[order[np.concatenate([[True], whole[order[1:]] != whole[order[:-1]]])] if len(order) else order] = True
+    return first
+
+
 def line_table(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
@@ -77,10 +85,10 @@ def line_table(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[
             sums = _Sums(words.hashes)
             whole = sums.joined(start, end, end, end, 0)
             keys = np.stack([k for k, _, _ in _quarter_keys(sums, start, end)], axis=1) if len(start) else np.zeros((0, 2 * QUARTERS), np.uint64)
-            long = (end - start) >= least_words
+            ids = part.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
+            long = ((end - start) >= least_words) & _earliest(whole, ids[row], number)
             offsets = np.zeros(len(start) + 1, np.int32)
             np.cumsum(long * 2 * QUARTERS, out=offsets[1:])
-            ids = part.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[row].astype(np.int64)), pa.array(number.astype(np.int32)), pa.array(signed(whole)),
@@ -100,7 +108,8 @@ def variants(batches: Iterator[pa.RecordBatch], least_words: int, shared: Broadc
             words, row, number, start, end = _lines(part.column("text"))
             sums = _Sums(words.hashes)
             whole = sums.joined(start, end, end, end, 0)
-            long = (end - start) >= least_words
+            ids = part.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
+            long = ((end - start) >= least_words) & _earliest(whole, ids[row], number)
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             searched = np.zeros(len(start), bool)
             for k, (key, a, b) in enumerate(_quarter_keys(sums, start, end)):
@@ -116,7 +125,6 @@ def variants(batches: Iterator[pa.RecordBatch], least_words: int, shared: Broadc
             at = np.flatnonzero(searched)
             out.append((sums.joined(start[at], end[at], end[at], end[at], 1), at, np.ones(len(at), bool)))
             key, at, exact = (np.concatenate(x) for x in zip(*out))
-            ids = part.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(key)), pa.array(exact), pa.array(signed(whole[at])), pa.array(ids[row[at]].astype(np.int64)), pa.array(number[at].astype(np.int32))],
                 ["key", "exact", "whole", "doc_id", "line"],
@@ -177,10 +185,10 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, least_words: int = 8, k
 
     rows = scratch.save(docs.mapInArrow(lambda it: variants(it, least_words, shared, key_bits), "key long, exact boolean, whole long, doc_id long, line int"))
     place = F.struct("doc_id", "line", "whole")
-    lead = rows.groupBy("key").agg(
+    lead = scratch.save(rows.groupBy("key").agg(
         F.min(F.when(F.col("exact"), place)).alias("exact_first"), F.min(F.when(~F.col("exact"), place)).alias("variant_first"),
         F.max("exact").alias("has_exact"), F.min("whole").alias("low"), F.max("whole").alias("high"),
-    ).where("low <> high")
+    ).where("low <> high").drop("low", "high"))  # written, so that a hot key's rows can be split in the join
     # A replaced word meets variants; a word left out meets whole lines, which it may precede or follow.
     first = F.when(F.col("exact"), F.col("variant_first")).when(F.col("has_exact"), F.col("exact_first")).otherwise(F.col("variant_first"))
     pairs = (
@@ -193,6 +201,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, least_words: int = 8, k
         pairs.join(own, "whole").where(F.struct("there.doc_id", "there.line") < F.col("place"))
         .select("whole", "place.doc_id", "place.line", F.col("there.doc_id").alias("other_doc"), F.col("there.line").alias("other_line"))
     )
+    scratch.drop(rows, lead)
     asked = pairs.select("doc_id").unionByName(pairs.select(F.col("other_doc").alias("doc_id")))
     wanted = id_bitmap(spark, asked, "doc_id")
     texts = docs.withColumn("bit", bit_of("doc_id")).mapInArrow(lambda it: _texts(it, wanted), "doc_id long, line int, text string")

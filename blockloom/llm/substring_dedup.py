@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from .idfilter import bit_of, hash_bitmap, holds, id_bitmap
 from .scratch import Scratch
-from .text import chunks, signed, split_words, window_hashes
+from .text import chunks, mix, signed, split_words, window_hashes
 
 ANCHOR_BITS = 26
+CHECK = np.uint64(0xA0761D6478BD642F)
 
 
 def _windows(column: pa.Array, width: int):
@@ -62,7 +63,11 @@ def anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 
 def repeated_windows(batches: Iterator[pa.RecordBatch], width: int, bitmap: Broadcast, bits: int) -> Iterator[pa.RecordBatch]:
-    """Hash, document and start of each window whose anchor may repeat."""
+    """Hash, check, document and start of each window whose anchor may repeat.
+
+    The check is 32 bits of a second sum over other values of the same words, so that windows
+    compare by 96 bits.
+    """
     for batch in batches:
         for part in chunks(batch, "text"):
             found = _windows(part.column("text"), width)
@@ -73,9 +78,10 @@ def repeated_windows(batches: Iterator[pa.RecordBatch], width: int, bitmap: Broa
             start, row = start[may], row[may]
             ids = part.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             hashes = window_hashes(words.hashes, width)[start]
+            check = window_hashes(mix(words.hashes ^ CHECK), width)[start].astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(hashes)), pa.array(ids[row].astype(np.int64)), pa.array((start - words.first[row]).astype(np.int32))],
-                ["window", "doc_id", "start"],
+                [pa.array(signed(hashes)), pa.array(check), pa.array(ids[row].astype(np.int64)), pa.array((start - words.first[row]).astype(np.int32))],
+                ["window", "check", "doc_id", "start"],
             )
 
 
@@ -136,10 +142,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, keep_t
         .groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     )
     marked = hash_bitmap(spark, twice, "anchor", anchor_bits)
-    windows = named.mapInArrow(lambda it: repeated_windows(it, width, marked, anchor_bits), "window long, doc_id long, start int")
-    first = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
-    later = windows.join(first, "window").where(F.struct("doc_id", "start") > F.col("first"))
+    windows = named.mapInArrow(lambda it: repeated_windows(it, width, marked, anchor_bits), "window long, check int, doc_id long, start int")
+    same = ["window", "check"]
+    counted = windows.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
+    first = scratch.save(counted.drop("n"))  # written, so that the places of a window that many documents share can be split in the join
+    later = windows.join(first, same).where(F.struct("doc_id", "start") > F.col("first"))
     starts = scratch.save(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
+    scratch.drop(first)
 
     touched = id_bitmap(spark, starts, "doc_id")
     ready = docs.withColumn("bit", bit_of("doc_id"))
