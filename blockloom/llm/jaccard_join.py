@@ -14,7 +14,7 @@ another:
    short lists are heap-merged, the long ones probed by binary search and documents that reach
    the required overlap are kept (:func:`divide_skip`).  A cluster above ``block`` documents
    is dealt into blocks twice; documents that are not of its largest class by then search the
-   rest of it by joins on their short lists (:func:`_between_classes`).
+   lists of all of it, in larger blocks.
 4. Links join by contraction to components.
 """
 
@@ -36,6 +36,7 @@ from .idfilter import BITS, bit_of, id_bitmap, passing
 from .scratch import Scratch
 from .text import chunks, list_array, mix, signed, split_words, window_hashes
 
+CROWD = 8
 SCAN = "doc_id long, n_shingles long, h1 long, h2 long, tokens array<long>"
 
 
@@ -188,6 +189,30 @@ def _mingled(sized: DataFrame, block: int) -> DataFrame:
     return plan
 
 
+def _strangers(scratch: Scratch, labelled: DataFrame, block: int) -> DataFrame:
+    """Blocks in which every document outside its cluster's largest class searches the whole cluster.
+
+    Two documents of that class need not meet: they are in one component already.  Each block
+    has the inverted lists of up to CROWD times ``block`` documents and as many that search
+    them, so a document is sent once for that many others, not for each.
+    """
+    block *= CROWD
+    own = scratch.save(labelled.withColumn("label", F.coalesce("label", "node")))
+    count = own.groupBy("component", "label").agg(F.count("*").alias("n"))
+    main = count.groupBy("component").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
+    known = own.join(main.select("component", F.col("main.label").alias("main"), (F.col("all") - F.col("main.n")).alias("others")), "component").where("others > 0")
+    ways, parts = F.ceil(F.col("others") / block).cast("int"), F.ceil(F.col("size") / block).cast("int")
+    crowd = known.select(
+        "node", "component", F.explode(F.sequence(F.lit(0), ways - 1)).alias("a"),
+        F.pmod(F.xxhash64(F.lit(3), "node"), parts).cast("int").alias("b"), F.lit(0).alias("side"),
+    )
+    asking = known.where("label <> main").select(
+        "node", "component", F.pmod(F.xxhash64(F.lit(4), "node"), ways).cast("int").alias("a"),
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("b"), F.lit(1).alias("side"),
+    )
+    return crowd.unionByName(asking)
+
+
 def _full_sets(spark: SparkSession, docs: DataFrame, nodes: DataFrame, width: int, filter_bits: int) -> DataFrame:
     """``(node, tokens)``: whole shingle sets of the documents that may be among nodes."""
     bitmap = id_bitmap(spark, nodes, "node", filter_bits)
@@ -201,27 +226,21 @@ def _full_sets(spark: SparkSession, docs: DataFrame, nodes: DataFrame, width: in
     return docs.where("doc_id is not null").withColumn("bit", bit_of("doc_id", filter_bits)).mapInArrow(read, "node long, tokens array<long>")
 
 
-def _short_lists(postings: DataFrame, aside: Column, scratch: Scratch) -> DataFrame:
-    """``(node, token)`` without the ``aside`` longest lists of each document of ``(node, n, token)``.
+def _clusters(postings: DataFrame, aside: Column, scratch: Scratch) -> DataFrame:
+    """``(node, component, size)`` of the documents that ``(node, n, token)`` joins by short lists.
 
-    Lists of one document, or of documents of one ``label`` if there is such a column, count as
-    the shortest and name nobody.
+    Lists of one document count as the shortest.  Of each document's lists the ``aside``
+    longest are left out.
     """
-    length = postings.groupBy("token").agg(F.count("*").alias("length"), *([F.min("label").alias("low"), F.max("label").alias("high")] if "label" in postings.columns else []))
     # Written, as lead below, so that the rows of a list that names many documents can be split in the join.
-    shared = scratch.save(length.where("length > 1" if "label" not in postings.columns else "low <> high").select("token", "length"))
+    shared = scratch.save(postings.groupBy("token").agg(F.count("*").alias("length")).where("length > 1"))
     kept = F.size("lists") - aside.cast("int")
-    short = scratch.save(
+    short = (
         postings.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("length", "token"))).alias("lists"))
         .where(kept > 0).select("node", F.explode(F.slice("lists", F.lit(1), kept)["token"]).alias("token"))
     )
+    short = scratch.save(short)
     scratch.drop(shared)
-    return short
-
-
-def _clusters(postings: DataFrame, aside: Column, scratch: Scratch) -> DataFrame:
-    """``(node, component, size)`` of the documents that ``(node, n, token)`` joins by short lists."""
-    short = _short_lists(postings, aside, scratch)
     lead = scratch.save(short.groupBy("token").agg(F.min("node").alias("lead")))
     cluster = scratch.save(components(short.join(lead, "token").select(F.col("node").alias("u"), F.col("lead").alias("v")), scratch))
     scratch.drop(short, lead)
@@ -229,40 +248,6 @@ def _clusters(postings: DataFrame, aside: Column, scratch: Scratch) -> DataFrame
     return scratch.save(cluster.join(size, "component"))
 
 
-def _between_classes(spark: SparkSession, docs: DataFrame, labelled: DataFrame, scratch: Scratch, width: int, percent: int, filter_bits: int) -> DataFrame | None:
-    """Links between classes ``label`` of large clusters; None if every cluster is one class.
-
-    A T-occurrence search by joins: each document outside its cluster's largest class merges its
-    short lists, which finds the documents of other classes that share as many of them as a
-    link needs at least; only these are probed with the whole sets.  Two documents of one class
-    need not meet, so the cost is the short lists of the documents outside, not the square of
-    a cluster.
-    """
-    own = scratch.save(labelled.withColumn("label", F.coalesce("label", "node")))
-    count = own.groupBy("component", "label").agg(F.count("*").alias("n"))
-    main = count.groupBy("component").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
-    known = own.join(main.select("component", F.col("main.label").alias("main"), (F.col("all") > F.col("main.n")).alias("mixed")), "component")
-    known = scratch.save(known.where("mixed").select("node", "component", "label", (F.col("label") != F.col("main")).alias("asks")))
-    if known.isEmpty():
-        return None
-    sets = scratch.save(_full_sets(spark, docs, known.select("node"), width, filter_bits).distinct())
-    of = sets.join(known, "node")
-    postings = of.select("node", F.concat_ws(":", "component", "label").alias("label"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    spare = lambda n: F.floor(n / 20)
-    short = _short_lists(postings, F.ceil(F.col("n") * percent / F.lit(100)) - 1 - spare(F.col("n")), scratch)
-    short = scratch.save(short.join(of.select("node", "component", "label", "asks", F.size("tokens").alias("n")), "node"))
-    x, y = (short.select("token", "component", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "asks", "n"))) for k in ("x", "y"))
-    met = (
-        x.where("asks_x").join(y, ["token", "component"]).where("label_x <> label_y and (not asks_y or node_x < node_y)")
-        .groupBy("node_x", "node_y", "n_x", "n_y").agg(F.count("*").alias("common")).where(F.col("common") > F.least(spare(F.col("n_x")), spare(F.col("n_y"))))
-        .where(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
-    )
-    one, other = (sets.select(F.col("node").alias(f"node_{k}"), F.col("tokens").alias(f"tokens_{k}")) for k in ("x", "y"))
-    overlap = F.size(F.array_intersect("tokens_x", "tokens_y"))
-    linked = met.join(one, "node_x").join(other, "node_y").where(100 * overlap >= percent * (F.size("tokens_x") + F.size("tokens_y") - overlap))
-    return scratch.save(linked.select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct())
-
-
 def jaccard_components(
     spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, block: int = 64, filter_bits: int = BITS
 ) -> tuple[DataFrame, DataFrame]:
@@ -296,8 +281,9 @@ def jaccard_components(
     sized = scratch.save(sized.where(f"size <= {block}").unionByName(_clusters(every, least - 1, scratch)))
     links = scratch.save(_search(spark, docs, _mingled(sized, block), width, percent, filter_bits))
     label = components(links, scratch).select("node", F.col("component").alias("label"))
-    late = _between_classes(spark, docs, sized.where(f"size > {block}").join(label, "node", "left"), scratch, width, percent, filter_bits)
-    links = links if late is None else links.unionByName(late)
+    late = scratch.save(_strangers(scratch, sized.where(f"size > {block}").join(label, "node", "left"), block))
+    if not late.isEmpty():
+        links = scratch.save(links.unionByName(_search(spark, docs, late, width, percent, filter_bits)).distinct())
     joined = components(links, scratch).select(F.col("node").alias("representative"), F.col("component").alias("component_id"))
     member = member.join(joined, "representative", "left").select(
         "doc_id", "n_shingles", "representative", F.coalesce("component_id", "representative", "doc_id").alias("component_id")
