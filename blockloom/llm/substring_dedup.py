@@ -63,7 +63,8 @@ def anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 
 def repeated_windows(batches: Iterator[pa.RecordBatch], width: int, bitmap: Broadcast, bits: int) -> Iterator[pa.RecordBatch]:
-    """Hash, check, document and start of each window whose anchor may repeat.
+    """Hash, check, document and start of each window whose anchor may repeat; a window that came
+    before in the same row has ``-1 - start`` instead.
 
     The check is 32 bits of a second sum over other values of the same words, so that windows
     compare by 96 bits.
@@ -79,8 +80,13 @@ def repeated_windows(batches: Iterator[pa.RecordBatch], width: int, bitmap: Broa
             ids = part.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             hashes = window_hashes(words.hashes, width)[start]
             check = window_hashes(mix(words.hashes ^ CHECK), width)[start].astype(np.uint32).view(np.int32)
+            place = (start - words.first[row]).astype(np.int32)
+            here = hashes ^ mix(row.astype(np.uint64) + np.uint64(1))
+            order = np.argsort(here, kind="stable")
+            again = order[1:][(here[order[1:]] == here[order[:-1]]) & (check[order[1:]] == check[order[:-1]])]
+            place[again] = -1 - place[again]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(hashes)), pa.array(check), pa.array(ids[row].astype(np.int64)), pa.array((start - words.first[row]).astype(np.int32))],
+                [pa.array(signed(hashes)), pa.array(check), pa.array(ids[row].astype(np.int64)), pa.array(place)],
                 ["window", "check", "doc_id", "start"],
             )
 
@@ -131,7 +137,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, keep_t
     docs needs doc_id and text; other columns are ignored.  ``kept`` is the remaining words
     joined by one space, or its SHA-256 if ``keep_text`` is false; ``removed`` lists maximal
     word intervals, end exclusive.  A null text counts as empty.  Rows of null doc_id stay
-    whole.  Rows that repeat doc_id and text are alike: none is earlier than the other.  An
+    whole.  Rows that repeat a doc_id are equally early: none takes a window from the other.  An
     empty table gives an empty result.
     """
     scratch = Scratch(spark)
@@ -144,9 +150,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, keep_t
     marked = hash_bitmap(spark, twice, "anchor", anchor_bits)
     windows = named.mapInArrow(lambda it: repeated_windows(it, width, marked, anchor_bits), "window long, check int, doc_id long, start int")
     same = ["window", "check"]
-    counted = windows.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
-    first = scratch.save(counted.drop("n"))  # written, so that the places of a window that many documents share can be split in the join
-    later = windows.join(first, same).where(F.struct("doc_id", "start") > F.col("first"))
+    counted = windows.where("start >= 0").groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = scratch.save(counted.drop("last"))  # written, so that the places of a window that many documents share can be split in the join
+    later = windows.join(first, same, "left").where("start < 0 or doc_id > first").select("doc_id", F.expr("if(start < 0, -1 - start, start)").alias("start"))
     starts = scratch.save(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
     scratch.drop(first)
 
