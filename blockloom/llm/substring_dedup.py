@@ -100,11 +100,12 @@ def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
+    """Rows ``(doc_id, text, starts)`` without the windows at starts; without that column, whole."""
     for batch in batches:
         for part in chunks(batch, "text"):
             out: list[list] = [[] for _ in range(4)]
             texts = part.column("text").to_pylist()
-            lists = part.column("starts").to_pylist()
+            lists = part.column("starts").to_pylist() if "starts" in part.schema.names else [None] * len(texts)
             for text, starts in zip(texts, lists):
                 words = (text or "").encode().split()
                 n, spans = len(words), intervals(np.array(sorted(starts or ())), width)
@@ -158,11 +159,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, keep_t
 
     touched = id_bitmap(spark, starts, "doc_id")
     ready = docs.withColumn("bit", bit_of("doc_id"))
-    shape = "doc_id long, text string"
-    whole = ready.mapInArrow(lambda it: _split(it, touched, False), shape).withColumn("starts", F.lit(None).cast("array<int>"))
-    cut = ready.mapInArrow(lambda it: _split(it, touched, True), shape).join(starts, "doc_id", "left")
     result = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>"
-    return whole.unionByName(cut).mapInArrow(lambda it: _cut(it, width, keep_text), result)
+    whole = ready.mapInArrow(lambda it: _cut(_split(it, touched, False), width, keep_text), result)  # one worker a task for both steps
+    cut = ready.mapInArrow(lambda it: _split(it, touched, True), "doc_id long, text string").join(starts, "doc_id", "left")
+    return whole.unionByName(cut.mapInArrow(lambda it: _cut(it, width, keep_text), result))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
