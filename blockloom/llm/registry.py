@@ -28,6 +28,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_secret_scan": sql.SECRETS,
     "op3_url_filter": sql.URLS,
     "op4_jaccard_join": sql.JACCARD,
     "op8_line_dedup": sql.LINES,

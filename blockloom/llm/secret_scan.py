@@ -98,11 +98,11 @@ def corpus_samples(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
     """Labelled ``(token, random)`` samples from a corpus.
 
     Ordinary: runs of at least six token characters, outside base spans, of the ``sample_docs``
-    documents of least hashed doc_id.  Random: the values in the base spans of the same
+    documents whose doc_id has the least MD5.  Random: the values in the base spans of the same
     documents, and for each of them strings of digests in base 64, hex and upper case, so that
     no alphabet is missing.
     """
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string"))).limit(sample_docs)
     picked = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     without = picked.select("doc_id", "text", F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), HEX, " "), ACCESS, " ").alias("rest"))
     plain = without.select(F.explode(F.array_distinct(F.regexp_extract_all("rest", F.lit("[A-Za-z0-9+/_-]{6,}"), F.lit(0)))).alias("token"), F.lit(False).alias("random"))

@@ -1,5 +1,8 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from .secret_scan import ACCESS, ALPHABET, ASSIGN, HEX, RUN, SIZE
+from .url_filter import rounds_for
+
 # Words of each text with their places, and the break between words.
 WORDS = """
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents)
@@ -69,9 +72,12 @@ FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN j USING (doc_id) GROUP BY
 _LINK = "(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"']?\\s*((?:https?:)?//[^\"'\\s>]+)"
 
 
-def _ranks(name: str, seed: str, source: str, target: str, rounds: int = 10) -> str:
+ROUNDS = rounds_for(0.85, 1e-3)
+
+
+def _ranks(name: str, seed: str, source: str, target: str, rounds: int = ROUNDS) -> str:
     """Rounds of personalised PageRank over ``edges``, one common table after another."""
-    out = f"{name}_w AS (SELECT {source} AS a, {target} AS b, n / sum(n) OVER (PARTITION BY {source}) AS w FROM edges),\n"
+    out = f"{name}_w AS (SELECT {source} AS a, {target} AS b, n / sum(n) OVER (PARTITION BY src) AS w FROM edges),\n"
     out += f"{name}_s AS (SELECT host, {seed} AS seed FROM hosts WHERE {seed} > 0),\n{name}_0 AS (SELECT host, seed AS score FROM {name}_s),\n"
     for k in range(rounds):
         out += (
@@ -96,7 +102,55 @@ edges AS (SELECT src, dst, count(*) AS n FROM ends WHERE src <> dst AND src <> '
 """
     + _ranks("trust", "good", "src", "dst")
     + _ranks("distrust", "bad", "dst", "src")
-    + """bad AS (SELECT host FROM distrust_10 LEFT JOIN (SELECT host, score AS trust FROM trust_10) USING (host) WHERE score > 0.5 AND score > coalesce(trust, 0))
+    + """bad AS (SELECT host FROM distrust_@ LEFT JOIN (SELECT host, score AS trust FROM trust_@) USING (host) WHERE score > 0.5 AND score > coalesce(trust, 0))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM j
-"""
+""".replace("@", str(ROUNDS))
 )
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _spans(name: str, pattern: str, kind: int, group: int = 0, least: int = 0) -> str:
+    """Table ``name`` of ``(doc_id, kind, start, stop, token)``: matches in code points, placed by the pieces between them."""
+    p = _quoted(pattern)
+    return f"""
+{name}_m AS (SELECT doc_id, regexp_split_to_array(t, {p}) AS p, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {group}) AS h FROM t WHERE regexp_matches(t, {p})),
+{name}_i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {name}_m),
+{name} AS (SELECT doc_id, {kind} AS kind, (list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0))::BIGINT AS start,
+  m[i] AS token, start + length(m[i]) AS stop FROM {name}_i WHERE length(h[i]) >= {least}),"""
+
+
+_PLAIN = "t"
+for _p in (ASSIGN, HEX, ACCESS):
+    _PLAIN = f"regexp_replace({_PLAIN}, {_quoted(_p)}, ' ', 'g')"
+_PLACE = f"instr('{ALPHABET}', substr(token, i, 1))"
+
+SECRETS = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{_spans("assign", ASSIGN, 0, 2, 6)}{_spans("access", ACCESS, 1)}{_spans("hexes", HEX, 2)}{_spans("runs", RUN, 3)}
+base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hexes),
+picked AS (SELECT * FROM t WHERE doc_id IN (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM documents) ORDER BY md5(doc_id::VARCHAR) LIMIT 2000)),
+found AS (SELECT DISTINCT unnest(list_concat(regexp_extract_all(t, {_quoted(HEX)}), regexp_extract_all(t, {_quoted(ACCESS)}))) AS token FROM picked),
+digests AS (SELECT sha256(doc_id::VARCHAR) AS d FROM picked),
+made AS (SELECT unnest([to_base64(unhex(d)), to_base64(unhex(sha256(d))), d, translate(upper(to_base64(unhex(d))), '+/=', '234')]) AS token FROM digests),
+samples AS (SELECT unnest(list_distinct(regexp_extract_all({_PLAIN}, '[A-Za-z0-9+/_-]{{6,}}'))) AS token, 0 AS random FROM picked UNION ALL SELECT token, 1 FROM found UNION ALL SELECT token, 1 FROM made),
+places AS (SELECT token, random, unnest(range(1, length(token))) AS i FROM samples),
+pairs AS (SELECT random, {_PLACE} AS a, {_PLACE.replace("i, 1", "i + 1, 1")} AS b, count(*) AS n FROM places GROUP BY ALL),
+grid AS (SELECT a, b FROM (SELECT unnest(range({SIZE})) AS a), (SELECT unnest(range({SIZE})) AS b)),
+single AS (SELECT random, b, sum(n) AS n FROM pairs GROUP BY ALL), total AS (SELECT random, sum(n) + 0.5 * {SIZE} AS n FROM pairs GROUP BY random),
+row_sum AS (SELECT random, a, sum(n) AS n FROM pairs GROUP BY ALL),
+chance AS (SELECT k.random, a, b, (coalesce(pairs.n, 0) + 0.5 * {SIZE} * (coalesce(single.n, 0) + 0.5) / k.n) / (coalesce(row_sum.n, 0) + 0.5 * {SIZE}) AS p
+  FROM grid CROSS JOIN total AS k LEFT JOIN pairs USING (random, a, b) LEFT JOIN single USING (random, b) LEFT JOIN row_sum USING (random, a)),
+ratio AS (SELECT a, b, round(ln(max(p) FILTER (random = 1) / max(p) FILTER (random = 0)), 5) AS r FROM chance GROUP BY a, b),
+free AS (SELECT * FROM runs WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = runs.doc_id AND base.start < runs.stop AND base.stop > runs.start)),
+steps AS (SELECT doc_id, start, stop, token, unnest(range(1, length(token))) AS i FROM free),
+scored AS (SELECT doc_id, start, stop, sum(r) AS score FROM (SELECT doc_id, start, stop, {_PLACE} AS a, {_PLACE.replace("i, 1", "i + 1, 1")} AS b FROM steps) JOIN ratio USING (a, b) GROUP BY ALL),
+every AS (SELECT doc_id, start, kind, stop FROM base UNION ALL SELECT doc_id, start, 3, stop FROM scored WHERE score >= 15 AND score >= 2 * (stop - start)),
+written AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(['assign', 'access', 'hex', 'markov'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+  string_agg(['assign', 'access', 'hex', 'markov'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN written USING (doc_id)
+"""

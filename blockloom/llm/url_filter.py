@@ -9,6 +9,7 @@ trust.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,15 +65,23 @@ def weighted(edges: DataFrame, source: str) -> DataFrame:
     return edges.join(total, source).select(F.col(source).alias("from"), F.col(other).alias("to"), (F.col("n") / F.col("total")).alias("weight"))
 
 
-def pagerank(seeds: DataFrame, edges: DataFrame, scratch: Scratch, damping: float, rounds: int) -> DataFrame:
+def rounds_for(damping: float, tolerance: float) -> int:
+    """How many rounds leave under ``tolerance`` of any seed undelivered, however long its paths."""
+    return math.ceil(math.log(tolerance) / math.log(damping))
+
+
+def pagerank(seeds: DataFrame, edges: DataFrame, scratch: Scratch, damping: float, tolerance: float) -> DataFrame:
     """``(host, score)`` of hosts that seeds ``(host, seed)`` reach over ``(from, to, weight)``.
 
     Scores are in units of one full seed: a host without inward links scores its own seed.
+    Rounds end when no score rises by ``tolerance * (1 - damping)`` any more, or as
+    :func:`rounds_for` says.
     """
     score = seeds.select("host", F.col("seed").alias("score"))
     if edges.isEmpty():
         return score
-    for _ in range(rounds):
+    for _ in range(rounds_for(damping, tolerance)):
+        before = score
         passed = (
             score.join(edges, F.col("host") == F.col("from")).groupBy("to")
             .agg(F.sum(F.col("score") * F.col("weight") * damping).alias("score")).withColumnRenamed("to", "host")
@@ -80,19 +89,23 @@ def pagerank(seeds: DataFrame, edges: DataFrame, scratch: Scratch, damping: floa
         score = scratch.save(
             passed.join(seeds, "host", "full").select("host", (F.coalesce("score", F.lit(0.0)) + F.coalesce("seed", F.lit(0.0))).alias("score"))
         )
+        rise = F.max(F.col("score") - F.coalesce("old", F.lit(0.0)))
+        if (score.join(before.withColumnRenamed("score", "old"), "host", "left").agg(rise).first()[0] or 0.0) < tolerance * (1 - damping):
+            break
     return score
 
 
 def judge(
-    spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, damping: float = 0.85, rounds: int = 10, threshold: float = 0.5
+    spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, damping: float = 0.85, tolerance: float = 1e-3, threshold: float = 0.5
 ) -> DataFrame:
     """``(page_id, host, path, rule, verdict, trust, distrust)`` of every row of pages.
 
     pages needs page_id, url and html; other columns are ignored.  A null url, or one without
     ``://``, has an empty host and path and is allowed; null html has no links.  Seeds are the
     share of a host's pages, and one more, that rules allow or block: a host blocked in part is
-    distrusted in part, and a single page decides nothing.  Repeated rows count as pages of their own.  An empty table gives an
-    empty result.
+    distrusted in part, and a single page decides nothing.  Distrust of just ``threshold``, or
+    just the host's trust, does not block.  Repeated rows count as pages of their own.  An empty
+    table gives an empty result.
     """
     scratch = Scratch(spark)
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
@@ -106,8 +119,8 @@ def judge(
     forward = scratch.save(weighted(edges, "src"))
     # A host takes distrust by the share of its own links, so that it does not matter how many others link there too.
     backward = forward.select(F.col("to").alias("from"), F.col("from").alias("to"), "weight")
-    trust = pagerank(hosts.where("good > 0").select("host", F.col("good").alias("seed")), forward, scratch, damping, rounds)
-    distrust = pagerank(hosts.where("bad > 0").select("host", F.col("bad").alias("seed")), backward, scratch, damping, rounds)
+    trust = pagerank(hosts.where("good > 0").select("host", F.col("good").alias("seed")), forward, scratch, damping, tolerance)
+    distrust = pagerank(hosts.where("bad > 0").select("host", F.col("bad").alias("seed")), backward, scratch, damping, tolerance)
     scores = scratch.save(
         trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
         .select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -242,6 +242,34 @@ def test_secrets(spark):
     assert secret_scan.train(spark.createDataFrame([], "token string, random boolean")) == [0.0] * secret_scan.SIZE**2
 
 
+def test_secret_ratios_equal_a_loop(spark):
+    """Pair ratios from samples, scores of runs, and repeated rows and a very long text under the default limits."""
+    rng = random.Random(14)
+    samples = [("".join(rng.choices(secret_scan.ALPHABET[:62], k=32)), True) for _ in range(300)] + [(rng.choice("someUser some_value getItem readTheList over-under".split()) * 3 + str(k), False) for k in range(300)]
+    samples += [("é", True), ("x", False), (None, True), ("abc", None)]
+    ratio = secret_scan.train(spark.createDataFrame(samples, "token string, random boolean"))
+    size, index = secret_scan.SIZE, lambda c: secret_scan.ALPHABET.find(c) + 1
+    counts = {k: np.zeros((size, size)) for k in (True, False)}
+    for t, k in samples:
+        for a, b in zip(t or "", (t or "")[1:]) if k is not None else ():
+            counts[k][index(a), index(b)] += 1
+    chance = {}
+    for k, c in counts.items():
+        single = c.sum(0) + 0.5
+        chance[k] = (c + 0.5 * size * single / single.sum()) / (c.sum(1, keepdims=True) + 0.5 * size)
+    want = np.log(chance[True] / chance[False])
+    assert np.allclose(np.array(ratio).reshape(size, size), want)
+    score = lambda t: sum(round(want[index(a), index(b)], 5) for a, b in zip(t, t[1:]))
+    secret, plain = "".join(rng.choices(secret_scan.ALPHABET[:62], k=40)), "getItemgetItemgetItemsomeUser"
+    rows = [(1, f"a {secret} b"), (1, f"a {secret} b"), (2, plain), (3, ("word " * 100_000) + secret), (4, " ".join("".join(rng.choices("abcdefXYZ019", k=24)) for _ in range(50)))]
+    out = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), ratio).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        runs = [(m.start(), 3, m.end()) for m in re.finditer(secret_scan.RUN, r["text"]) if score(m[0]) >= max(15.0, 2.0 * len(m[0]))]
+        assert [tuple(x) for x in r["found"]] == runs
+    assert [len(r["found"]) for r in sorted(out, key=lambda r: r["doc_id"])][:4] == [1, 1, 0, 1]
+
+
 def test_urls(spark):
     rows = [(k, f"http://bad.net/es/{k}", "") for k in range(5)] + [(10 + k, f"http://fine.com/{k}", '<a href="https://friend.org/x">') for k in range(5)]
     rows += [
@@ -266,6 +294,14 @@ def test_many_linkers_of_a_blocked_host(spark):
         assert out[900]["verdict"] == "allow" and out[900]["distrust"] == pytest.approx(0.85 * 0.9 / 10)
 
 
+def test_long_paths_of_links(spark):
+    """Trust reaches the end of a path, in shares that a loop over powers gives."""
+    rows = [(k, f"http://fine{k}.com/", '<a href="http://o0.org/">') for k in range(3)] + [(100 + k, f"http://o{k}.org/", f'<a href="http://o{k + 1}.org/">' * 2) for k in range(25)]
+    out = {r["host"]: r["trust"] for r in url_filter.judge(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), tolerance=1e-4).collect()}
+    for k in range(25):
+        assert out[f"o{k}.org"] == pytest.approx(3 * 0.5 * 0.85 ** (k + 1), abs=2e-4)
+
+
 def test_pages():
     page = (
         "<html><head><title>T</title><script>var t='</p>';</script></head><body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav>"
@@ -311,7 +347,7 @@ def test_tokens(spark, texts):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = byte_bpe.read_ranks(path)
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    rows = [x for x in texts if x[0] != 706] + [(900, "it's I'LL we'd  \n\n  x\t123 é漢字 <|endoftext|> 'tis   "), (901, "Über-größe " * 30)]
+    rows = texts + [(900, "it's I'LL we'd  \n\n  x\t123 é漢字 <|endoftext|> 'tis   "), (901, "Über-größe " * 30)]
     out = byte_bpe.encode(spark, frame(spark, rows), path, public_tokenizers.PATTERN, longest=40, sample_docs=100).collect()
     assert len(out) == len(rows)
     for r in out:

@@ -1,14 +1,20 @@
 """Registered queries against their SQL, and the pipeline against a brute-force version."""
 
+import hashlib
+import math
 import random
 import re
+import zlib
+from string import ascii_letters, digits
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from blockloom.llm.byte_bpe import read_ranks
+from blockloom.llm.html_text import main_text
 from blockloom.llm.line_dedup import within_one
 from blockloom.llm.registry import QUERIES, SQL
 
@@ -35,16 +41,18 @@ def tables(spark, tmp_path_factory):
         if i % 10 == 9:
             lines.append(items[i % 12][1])
         rows.append((i, "\n".join(lines), "en", f"src{i % 3}", 0))
+    rows += [(210 + k, f"{shared}\nkey {''.join(rng.choices(ascii_letters + digits, k=32))} AKIA{'Z7' * 8 * (k % 2)} secret: hunter{k}xy {'0a' * (10 + k)}\n{prose(rng, 60)}", "en", "src1", 0) for k in range(6)]
     rows += [(200, "too short", "en", "src0", 0), (201, "a b " * 60, "en", "src1", 0), (202, None, None, None, None), (203, "", "en", "src0", 0)]
     hosts = ["a.com", "b.net", "c.org", "d.org", "www.example.com", "example.com", "e.net"]
     pages = []
     for k in range(80):
-        links = "".join(f'<a class="x" href="{rng.choice(("http:", "https:", ""))}//{rng.choice(hosts)}/p{j}">t</a><a href="/in">i</a>' for j in range(rng.randint(0, 3)))
+        links = f"<nav><a href='/'>Home</a></nav><article><h1>Title {k}</h1><p>{prose(rng, 30)} &amp; more</p></article>" + "".join(f'<a class="x" href="{rng.choice(("http:", "https:", ""))}//{rng.choice(hosts)}/p{j}">t</a><a href="/in">i</a>' for j in range(rng.randint(0, 3)))
         pages.append((k, f"http://{rng.choice(hosts)}/{rng.choice(('es/', 'fr/', 'en/', 'de/', ''))}{k}?q#x" if k % 20 else None, links if k % 7 else None))
     folder = tmp_path_factory.mktemp("tables")
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, int(bool(t) and i % 3 > 0), 0) for i, t, *_ in rows if i % 7], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return str(folder), rows, items
 
 
@@ -59,6 +67,70 @@ def test_queries_equal_their_sql(spark, tables, name):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
 
 
+def test_leaks_of_the_query(spark, tables):
+    folder, rows, items = tables
+    got = QUERIES["op1_decontaminate"](spark, folder).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, k) for i, t, *_ in rows for k, x in items if t and x in t} and len(got) > 10
+
+
+def test_tokens_of_the_query(spark, tables):
+    import public_tokenizers
+    import tiktoken
+
+    folder, rows, _ = tables
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for i, t, *_ in rows:
+        ids = reference.encode_ordinary(t or "")
+        want.append((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((t or "").encode())))
+    assert sorted(map(tuple, QUERIES["op5_byte_bpe"](spark, folder).collect())) == sorted(want)
+
+
+def test_texts_of_the_query(spark, tables):
+    folder = tables[0]
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    want = sorted((r["page_id"], r["url"] or "", main_text(r["html"])) for r in pages)
+    got = QUERIES["op6_html_text"](spark, folder).collect()
+    assert sorted((r["page_id"], r["url"] or "", r["text"]) for r in got) == want and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert sum("Title" in t and "Home" not in t for *_, t in want) > 60
+
+
+def _statistics(text):
+    words, solid = re.findall(r"[^ \t-\r]+", text), len(re.sub(r"[ \t-\r]", "", text))
+    n, count = len(words), lambda chars: sum(text.count(c) for c in chars)
+    share = lambda a, b: a / b if b > 0 else 0.0
+    per_word = lambda k: math.log1p(100 * share(k, n))
+    return [
+        math.log1p(n), math.log1p(share(solid, n)), per_word(count("#*$%&<>")), per_word(count("!?")), per_word(count("|")), per_word(count("0123456789")),
+        math.log1p(100 * share(sum(c.isupper() for c in text), solid)), share(len(set(words)), n) ** 0.5, per_word(sum(a == b for a, b in zip(words, words[1:]))),
+        math.log1p(share(n, text.count("\n") + 1)), per_word(count(".,")),
+    ]
+
+
+def test_scores_equal_a_numpy_discriminant(spark, tables):
+    folder, rows, _ = tables
+    x = {i: np.array(_statistics(t or "")) for i, t, *_ in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in x}
+    label = {i: int(bool(t) and i % 3 > 0) for i, t, *_ in rows if i % 7}
+    learnt = [np.array([x[i] for i in x if i in label and not held[i] and label[i] == k]) for k in (0, 1)]
+    n, mean, spread = [len(a) for a in learnt], [a.mean(0) for a in learnt], [np.cov(a.T, bias=True) for a in learnt]
+    common = (n[0] * spread[0] + n[1] * spread[1]) / sum(n)
+    scale = np.diag(common) + (mean[0] - mean[1]) ** 2 * n[0] * n[1] / sum(n) ** 2 + 1e-6
+    density = []
+    for k in (0, 1):
+        s = 0.9 * spread[k] + 0.1 * common
+        s = 0.9 * s + 0.1 * np.diag(np.diag(s)) + 0.05 * np.diag(scale)
+        density.append({i: math.log(n[k] / sum(n)) - 0.5 * (np.linalg.slogdet(s)[1] + (v - mean[k]) @ np.linalg.solve(s, v - mean[k])) for i, v in x.items()})
+    got = QUERIES["op7_quality_classifier"](spark, folder).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        i = r["doc_id"]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(max(-500, min(500, density[0][i] - density[1][i])))), abs=1e-9)
+        assert r["held_out"] == held[i] and r["predicted"] == int(r["score"] >= 0.5)
+
+
 def _rules(docs):
     words = {i: re.findall(r"[^ \t-\r]+", t or "") for i, t in docs.items()}
 
