@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Writers hold a row group of each task in memory.
 ROW_GROUP = 16 << 20
+#: Texts go to Python so many rows at a time, where the session does not say otherwise: JVM and
+#: worker hold a batch each, beside the heap.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +54,8 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/blockloom-{uuid.uuid4().hex}"
         self.paths: dict[int, tuple[DataFrame, str]] = {}
         self.count = 0
+        if spark.conf.get(BATCH) == "10000":  # Spark's own
+            spark.conf.set(BATCH, str(BATCH_ROWS))
         atexit.register(self._clean)
 
     def save(self, df: DataFrame) -> DataFrame:
