@@ -11,9 +11,10 @@ from .scratch import Scratch
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``(u, v)`` edges to ``(node, component)``, where component is the least node reached.
 
-    In each round every node joins the neighbour of least hash under a fresh seed and the
-    edges are rewritten between the joined nodes, so the graph shrinks by a constant factor
-    whatever its shape.  A hub costs one partial minimum per task, never a collected list.
+    In each round every node joins the node of least hash within two steps, under a fresh seed,
+    and the edges are rewritten between the joined nodes: a star is one node after a round, and
+    any graph shrinks by a constant factor.  A hub costs one partial minimum per task, never a
+    collected list; what joins on it is written before, so that its rows can be split.
     Self-loops and repeated edges are harmless; an edge with a null end is dropped.
     """
     live = scratch.save(
@@ -27,9 +28,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             live.select(F.col("v").alias("node"), F.col("u").alias("near"))
         )
         best = both.groupBy("node").agg(F.min(rank(F.col("near"))).alias("best"))
-        step = scratch.save(
-            best.select("node", F.least(rank(F.col("node")), F.col("best"))["id"].alias("root"))
-        )
+        best = scratch.save(best.select("node", F.least(rank(F.col("node")), F.col("best")).alias("best")))
+        around = both.join(best.select(F.col("node").alias("near"), F.col("best").alias("far")), "near").groupBy("node").agg(F.min("far").alias("far"))
+        step = scratch.save(best.join(around, "node").select("node", F.least("best", "far")["id"].alias("root")))
+        scratch.drop(best)
         maps.append(step)
         left = step.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         right = step.select(F.col("node").alias("v"), F.col("root").alias("rv"))

@@ -42,6 +42,23 @@ def free_name(name: str, columns: list[str]) -> str:
     return name
 
 
+#: Folders of this process, without any table, whose plans would stay in the driver.
+_ROOTS: list[str] = []
+
+
+@atexit.register
+def _clean() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        spark = SparkSession.getActiveSession()
+        while spark and _ROOTS:
+            _delete(spark, _ROOTS.pop())
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables written once and read back, which cuts lineage and survives a lost executor.
 
@@ -52,29 +69,20 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/blockloom-{uuid.uuid4().hex}"
-        self.paths: dict[int, tuple[DataFrame, str]] = {}
         self.count = 0
+        _ROOTS.append(self.root)
         if spark.conf.get(BATCH) == "10000":  # Spark's own
             spark.conf.set(BATCH, str(BATCH_ROWS))
-        atexit.register(self._clean)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (out, path)
+        out.scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that :meth:`save` returned; nothing may read them any more."""
         for table in tables:
-            self._delete(self.paths.pop(id(table))[1])
-
-    def _delete(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def _clean(self) -> None:
-        with contextlib.suppress(Exception):  # the session may be gone
-            self._delete(self.root)
+            _delete(self.spark, table.scratch_path)
