@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+
 from .framing import get_varint, put_varint
 from .transforms import CorruptBlock, _copy
 
@@ -35,41 +37,61 @@ def match_length(data: bytes, a: int, b: int, most: int) -> int:
 def wire_encode(data: bytes) -> bytes:
     """Literals and matches: two lengths in a byte with extensions, literals, a two-byte distance.
 
-    Each four-byte key remembers its last two places; a match gives way to a longer one that
-    starts a byte later.
+    A match is looked for at the last two places of the next four bytes, and gives way to a
+    longer one that starts a byte later.
     """
-    last: dict[bytes, tuple[int, int]] = {}
-    out, anchor, i, n = bytearray(), 0, 0, len(data)
+    n = len(data)
+    before, candidates = previous_places(data)
+    last, at_once = before.tolist(), candidates.tolist()
+    out, anchor, i, where = bytearray(), 0, 0, 0
+    found = (-1, 0, 0)  # the last place asked for, with its answer
 
     def best(at: int) -> tuple[int, int]:
+        nonlocal found
+        if found[0] == at:
+            return found[1:]
         length = distance = 0
-        for j in last.get(data[at : at + 4], ()):
-            if 0 <= j and at - j <= REACH and (k := match_length(data, j, at, MOST)) > length:
-                length, distance = k, at - j
-        return (length, distance) if length >= LEAST else (0, 0)
-
-    def remember(at: int) -> None:
-        key = data[at : at + 4]
-        if len(key) == 4:
-            last[key] = (at, last.get(key, (-1, -1))[0])
+        j, tries = last[at], 2
+        while tries and 0 <= j and at - j <= REACH:
+            if not length or data[j + length : j + length + 1] == data[at + length : at + length + 1]:
+                k = match_length(data, j, at, MOST)
+                if k > length:
+                    length, distance = k, at - j
+            j, tries = last[j], tries - 1
+        found = (at, length, distance)
+        return length, distance
 
-    while i + LEAST <= n:
+    while where < len(at_once):
+        i = at_once[where]
+        where += 1
         length, distance = best(i)
-        remember(i)
-        if not length:
-            i += 1
-            continue
         if i + 1 + LEAST <= n and best(i + 1)[0] > length:
-            i += 1
             continue
         _sequence(out, data[anchor:i], length, distance)
-        for k in range(i + 1, i + length):
-            remember(k)
-        i = anchor = i + length
+        anchor = i + length
+        if length > 16:
+            where = int(np.searchsorted(candidates, anchor))
+        else:
+            while where < len(at_once) and at_once[where] < anchor:
+                where += 1
     _sequence(out, data[anchor:], 0, 0)
     return bytes(out)
 
 
+def previous_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the four bytes at each place stood before, or -1, and the places where that is within reach."""
+    n = len(data)
+    if n < LEAST:
+        return np.full(n, -1), np.zeros(0, np.int64)
+    first = np.frombuffer(data, np.uint8).astype(np.uint32)
+    keys = first[: n - 3] | first[1 : n - 2] << np.uint32(8) | first[2 : n - 1] << np.uint32(16) | first[3:] << np.uint32(24)
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    before = np.full(n, -1)
+    before[order[1:][same]] = order[:-1][same]
+    return before, np.flatnonzero((before >= 0) & (np.arange(n) - before <= REACH))
+
+
 def _sequence(out: bytearray, literals: bytes, length: int, distance: int) -> None:
     more = max(0, length - LEAST)
     out.append(min(15, len(literals)) << 4 | min(15, more))

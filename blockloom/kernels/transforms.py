@@ -37,24 +37,24 @@ def rle0_inverse(data: bytes) -> bytes:
 
 def mtf(data: bytes) -> bytes:
     """Each byte as its place in a list from which it then moves to the front."""
-    recent, out = list(range(256)), bytearray()
-    for b in data:
-        at = recent.index(b)
-        out.append(at)
-        if at:
-            del recent[at]
-            recent.insert(0, b)
+    recent, out, front = bytearray(range(256)), bytearray(len(data)), 0
+    for i, b in enumerate(data):
+        if b != front:
+            out[i] = at = recent.find(b)
+            recent[1 : at + 1] = recent[:at]
+            recent[0] = front = b
     return bytes(out)
 
 
 def mtf_inverse(ranks: bytes) -> bytes:
-    recent, out = list(range(256)), bytearray()
-    for at in ranks:
-        b = recent[at]
-        out.append(b)
+    recent, out = bytearray(range(256)), bytearray(len(ranks))
+    front = 0
+    for i, at in enumerate(ranks):
         if at:
-            del recent[at]
-            recent.insert(0, b)
+            front = recent[at]
+            recent[1 : at + 1] = recent[:at]
+            recent[0] = front
+        out[i] = front
     return bytes(out)
 
 
@@ -64,11 +64,18 @@ def mtf_inverse(ranks: bytes) -> bytes:
 def rotation_order(data: bytes) -> np.ndarray:
     """Starts of the rotations in sorted order, equal rotations with the later start first.
 
-    Ranks of prefixes double in length until they differ or cover the block.
+    Ranks of prefixes of eight bytes double in length until they differ or cover the block.
     """
     n = len(data)
-    rank = np.frombuffer(data, np.uint8).astype(np.int64)
-    order, width = np.argsort(rank, kind="stable"), 1
+    first = np.frombuffer(data, np.uint8).astype(np.uint64)
+    packed = np.zeros(n, np.uint64)
+    for k in range(8):
+        packed = packed << np.uint64(8) | np.roll(first, -k)
+    order, width = np.argsort(packed, kind="stable"), 8
+    rank = np.zeros(n, np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(packed[order[1:]] != packed[order[:-1]])])
+    if rank[order[-1]] == n - 1:
+        return order
     while width < n:
         key = rank * (int(rank.max(initial=0)) + 1) + np.roll(rank, -width)
         order = np.argsort(key, kind="stable")
@@ -98,12 +105,12 @@ def bwt_inverse(coded: bytes) -> bytes:
     last, (row,) = np.frombuffer(coded[:-4], np.uint8), struct.unpack("<I", coded[-4:])
     if row >= len(last):
         raise CorruptBlock("row of the text beyond the block")
-    follow = np.argsort(last, kind="stable").tolist()
-    first, out = np.sort(last).tolist(), bytearray(len(last))
-    for i in range(len(last)):
-        out[i] = first[row]
-        row = follow[row]
-    return bytes(out)
+    follow = jump = np.argsort(last, kind="stable")
+    rows = np.array([row])  # of the first bytes; each jump over all of them doubles their number
+    while len(rows) < len(last):
+        rows = np.concatenate([rows, jump[rows]])
+        jump = jump[jump]
+    return last[follow[rows[: len(last)]]].tobytes()
 
 
 # Repeats

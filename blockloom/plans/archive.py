@@ -38,11 +38,8 @@ def encode(blocks: DataFrame, mode: str, words: list[bytes], floor: int = codecs
     The structure of text blocks is found by expressions first; trials and coding are one pass.
     """
     text = F.when(F.col("kind") == "Text", F.decode("raw", "ISO-8859-1"))
-    ready = blocks.select("member_id", "block_id", "start", "kind", block_ops.structure_of(text).alias("structure"), F.crc32("raw").alias("crc32"), "raw")
-    if mode != "wire":  # coding takes far longer than moving the bytes to idle cores
-        spark = blocks.sparkSession
-        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        ready = ready.repartition(parts, F.xxhash64("member_id", "block_id"))
+    structure = F.lit(None).cast("string") if mode == "wire" else block_ops.structure_of(text)
+    ready = spread(blocks.select("member_id", "block_id", "start", "kind", structure.alias("structure"), F.crc32("raw").alias("crc32"), "raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,6 +67,13 @@ def encode(blocks: DataFrame, mode: str, words: list[bytes], floor: int = codecs
     return ready.mapInArrow(run, CODED)
 
 
+def spread(blocks: DataFrame) -> DataFrame:
+    """Blocks dealt to all cores: coding takes far longer than moving the bytes."""
+    spark = blocks.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return blocks.repartition(parts, F.xxhash64("member_id", "block_id"))
+
+
 def decode(coded: DataFrame, words: list[bytes], permissive: bool = False) -> DataFrame:
     """``(member_id, block_id, start, raw, error)``: bytes of coded blocks, checked by length and CRC.
 

@@ -29,7 +29,12 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; of documents and pages, which one row group may hold, dealt to all cores if they are few splits."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and rows.rdd.getNumPartitions() < 4 * cores:
+        return rows.repartition(cores)
+    return rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
