@@ -29,20 +29,19 @@ def word_counts(docs: DataFrame, text: str = "text", order: str = "doc_id") -> D
 def dictionary(counts: DataFrame) -> DataFrame:
     """``(word_id, word, freq)``: the most frequent words, first seen first among equals.
 
-    Two top-k steps: ids of one byte go to any word, the others to words of four bytes and up.
-    At most 1024 rows are numbered.
+    Ids of one byte go to any word, the others to words of four bytes and up.  The counts are
+    planned once: each task keeps its most frequent long and short words, 1024 of a kind at
+    most, and only these are numbered.
     """
     from pyspark.sql import Window
 
-    order = (F.desc("freq"), "first_seen")
-    short = counts.orderBy(*order).limit(lexicon.ONE_BYTE)
-    long = (
-        counts.where(F.octet_length("word") >= lexicon.LONG_FROM).orderBy(*order).limit(lexicon.MOST)
-        .join(F.broadcast(short.select("word")), "word", "left_anti").orderBy(*order).limit(lexicon.MOST - lexicon.ONE_BYTE)
-    )
-    tiers = short.withColumn("tier", F.lit(0)).unionByName(long.select(*short.columns).withColumn("tier", F.lit(1)))
+    order = (F.desc("freq"), F.col("first_seen"))
+    long = F.octet_length("word") >= lexicon.LONG_FROM
+    place = F.row_number().over(Window.partitionBy("long").orderBy(*order))
+    most = counts.withColumn("long", long).withColumn("place", place).where(F.col("place") <= lexicon.MOST)
+    tiers = most.withColumn("tier", (F.row_number().over(Window.orderBy(*order)) > lexicon.ONE_BYTE).cast("int")).where("tier = 0 or long")
     number = F.row_number().over(Window.orderBy("tier", *order)) - 1
-    return tiers.select(number.alias("word_id"), "word", "freq")
+    return tiers.select(number.alias("word_id"), "word", "freq").where(F.col("word_id") < lexicon.MOST)
 
 
 def collect_words(table: DataFrame) -> list[bytes]:
@@ -67,12 +66,10 @@ def restore_words(data: Column | str, words: list[bytes]) -> Column:
     return run(as_column(data))
 
 
-def savings(counts: DataFrame, table: DataFrame) -> DataFrame:
-    """``(word_id, word, saved)``: bytes that whole-word tokens save, less the entry itself."""
+def savings(table: DataFrame) -> DataFrame:
+    """``(word_id, word, saved)`` of a dictionary: bytes that whole-word tokens save, less the entry itself."""
     size, token = F.octet_length("word"), F.when(F.col("word_id") < lexicon.ONE_BYTE, 1).otherwise(3)
-    return counts.join(F.broadcast(table.select("word_id", "word")), "word").select(
-        "word_id", "word", (F.col("freq") * (size - token) - (size + 1)).alias("saved")
-    )
+    return table.select("word_id", "word", (F.col("freq") * (size - token) - (size + 1)).alias("saved"))
 
 
 def word_pairs(docs: DataFrame, text: str = "text") -> DataFrame:

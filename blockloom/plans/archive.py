@@ -120,9 +120,7 @@ def _decoded(blocks: list[codecs.Coded], words: list[bytes], permissive: bool) -
 
 def join_blocks(decoded: DataFrame) -> DataFrame:
     """``(member_id, content)``: the blocks of each member in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("block_id", "raw")))
-    hexed = F.concat_ws("", F.transform(ordered, lambda x: F.hex(x["raw"])))
-    return decoded.groupBy("member_id").agg(F.unhex(hexed).alias("content"))
+    return decoded.groupBy("member_id").agg(F.expr("listagg(raw) within group (order by block_id)").alias("content"))
 
 
 def compress(members: DataFrame, level: int | None = None, mode: str | None = None, window: int | None = 1 << 20, **floors: int) -> tuple[DataFrame, list[bytes]]:

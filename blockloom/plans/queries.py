@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
@@ -195,8 +195,7 @@ def dictionary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {WORDS} SELECT word_id, word, (freq * (octet_length(encode(word)) - CASE WHEN word_id < 127 THEN 1 ELSE 3 END) - (octet_length(encode(word)) + 1))::BIGINT AS saved FROM dict")
 def dictionary_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _counts(spark, sf_dir)
-    return words.savings(counts, words.dictionary(counts))
+    return words.savings(words.dictionary(_counts(spark, sf_dir)))
 
 
 @query(
@@ -277,6 +276,40 @@ def dictionary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.octet_length("back").cast("long").alias("n"), F.md5("back").alias("digest"))
 
 
+@query(
+    """SELECT doc_id, CASE WHEN n > 0 THEN n + 4 ELSE 0 END::BIGINT AS coded, md5(array_to_string(list_sort(regexp_extract_all(x, '..')), '')) AS bytes, upper(coalesce(list_min(regexp_extract_all(x, '..')), '')) AS least
+FROM (SELECT doc_id, octet_length(encode(text)) AS n, hex(encode(text)) AS x FROM documents)"""
+)
+def bwt_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every sorted text: the length with its row number, and its bytes in order, which are the text's."""
+    coded = documents(spark, sf_dir).withColumn("coded", transforms.transform("raw", "bwt"))
+    body = F.hex(F.expr("substring(coded, 1, octet_length(coded) - 4)"))
+    pairs = F.sort_array(F.regexp_extract_all(body, F.lit(".."), F.lit(0)))
+    return coded.select("doc_id", F.octet_length("coded").cast("long").alias("coded"), F.md5(F.array_join(pairs, "")).alias("bytes"), F.coalesce(F.get(pairs, F.lit(0)), F.lit("")).alias("least"))
+
+
+@query(
+    """WITH x AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS b FROM documents)
+SELECT doc_id, len(b)::BIGINT AS coded, coalesce(upper(b[1]), '') AS first, len(list_filter(range(2, len(b) + 1), lambda i: b[i] = b[i - 1]))::BIGINT AS fronts,
+  len(list_filter(range(3, len(b) + 1), lambda i: b[i] = b[i - 2] AND b[i] <> b[i - 1]))::BIGINT AS seconds FROM x"""
+)
+def mtf_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every text's ranks: their number, the first, which is the byte itself, and how often the first and second place."""
+    pairs = F.regexp_extract_all(F.hex("coded"), F.lit(".."), F.lit(0))
+    coded = documents(spark, sf_dir).withColumn("coded", transforms.transform("raw", "mtf")).withColumn("r", pairs)
+    later = F.slice("r", F.lit(2), F.size("r"))
+    again = lambda rank: F.size(F.filter(later, lambda x: x == rank)).cast("long")
+    return coded.select("doc_id", F.octet_length("coded").cast("long").alias("coded"), F.coalesce(F.get("r", F.lit(0)), F.lit("")).alias("first"), again("00").alias("fronts"), _seconds().alias("seconds"))
+
+
+def _seconds() -> Column:
+    """Ranks of 1 from the third on: a byte last seen two places before, with another between.
+
+    Ranks of 1 with a run between (a, b, b, a) are left out by asking that the rank before is not 0.
+    """
+    return F.size(F.filter(F.slice("r", F.lit(3), F.size("r")), lambda x, i: (x == "01") & (F.get("r", i + 1) != "00"))).cast("long")
+
+
 @query(
     """WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h, unnest(range(octet_length(encode(text)))) AS i FROM documents),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, h ORDER BY i) AS run FROM b),
@@ -384,10 +417,10 @@ def safe_member_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH m(method, label, kind) AS (VALUES "
     + ", ".join(f"({k}, '{v}', '{'Random' if k == 0 else 'Binary' if k in (3, 19) else 'Exec' if k in (4, 14) else 'Text'}')" for k, v in levels.METHODS.items())
-    + ") SELECT (l_linenumber * 3 - 1) % 21 AS method, label, kind, count(*) AS n FROM lineitem JOIN m ON (l_linenumber * 3 - 1) % 21 = method GROUP BY ALL"
+    + ") SELECT (l_orderkey + l_linenumber) % 21 AS method, label, kind, count(*) AS n FROM lineitem JOIN m ON (l_orderkey + l_linenumber) % 21 = method GROUP BY ALL"
 )
 def method_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "lineitem").select(((F.col("l_linenumber") * 3 - 1) % 21).alias("method"))
+    m = table(spark, sf_dir, "lineitem").select(((F.col("l_orderkey") + F.col("l_linenumber")) % 21).alias("method"))
     return m.groupBy("method").agg(F.count("*").alias("n")).select("method", levels.method_label(F.col("method")).alias("label"), levels.method_kind(F.col("method")).alias("kind"), "n")
 
 
@@ -465,20 +498,25 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.totals(m).select("engine", "files", "original", F.round("compressed").cast("long").alias("compressed"))
 
 
-def _archive(mode: str) -> None:
+def _archive(name: str, mode: str, **options: int) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Every document coded under a mode and decoded again; bit mixing in short blocks, many at once."""
+        """Every document coded under a mode and decoded again."""
         members = from_table(table(spark, sf_dir, "documents"), "doc_id", "text")
-        coded, found = archive.compress(members, mode=mode, window=4096 if mode in ("slow", "hybrid") else 1 << 20)
+        coded, found = archive.compress(members, mode=mode, **options)
         back = archive.decompress(coded, members, found)
         return back.select(F.col("member_id").alias("doc_id"), F.octet_length("content").cast("long").alias("n"), F.md5("content").alias("digest"))
 
-    run.__name__ = f"roundtrip_{mode}"
+    run.__name__ = f"roundtrip_{name}"
     query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n, md5(text) AS digest FROM documents")(run)
 
 
-for _mode in levels.MODES:
-    _archive(_mode)
+for _mode in ("wire", "general", "fast"):
+    _archive(_mode, _mode)
+#: Bit mixing in blocks of 4 KiB, many at once.
+for _mode in ("slow", "hybrid"):
+    _archive(f"{_mode}_4k", _mode, window=4096)
+#: With trials for blocks of 256 bytes and up, so that every pipeline for text is tried and most are taken.
+_archive("fast_trials", "fast", floor=256, plain_floor=256)
 
 
 @query()

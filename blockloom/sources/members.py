@@ -29,10 +29,9 @@ def check_name(name: str) -> str:
 
 
 def _numbered(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Ids by name order; names are dealt by range, so that no task sorts them all."""
-    ordered = df.sort("name")
-    rows = ordered.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-    return spark.createDataFrame(rows, "member_id long, name string, content binary, raw_len long")
+    """Ids by name order; names are dealt by range, so that no task sorts them all, and without contents."""
+    rows = df.select("name").sort("name").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
+    return spark.createDataFrame(rows, "member_id long, name string").join(df, "name").select("member_id", "name", "content", "raw_len")
 
 
 def same_path(a: str, b: str) -> bool:
@@ -72,9 +71,9 @@ def scan_tree(spark: SparkSession, root: str, output: str | None = None) -> Data
 
 
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Non-empty files right in a folder, without archives of this package: what a bench measures."""
+    """Non-empty files right in a folder that can be read, without archives of this package: what a bench measures."""
     top = str(Path(root).absolute())
-    df = spark.read.format("binaryFile").load(top + "/*").withColumn("name", F.substring("path", len(f"file:{top}/") + 1, 1 << 30))
+    df = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(top + "/*").withColumn("name", F.substring("path", len(f"file:{top}/") + 1, 1 << 30))
     right = (F.col("length") > 0) & ~F.contains("name", F.lit("/")) & ~F.col("name").endswith(SUFFIX)
     return _numbered(df.where(right).select("name", "content", F.col("length").alias("raw_len")), spark)
 
