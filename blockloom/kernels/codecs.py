@@ -1,13 +1,14 @@
 """Engines: blocks to payloads under a mode, and back.
 
 A payload is what is left of a block after its transform: runs of repeats, and the other bytes
-through a statistical model.  Blocks are coded in groups of similar length, a lane each.
+through a statistical model that learns from all of them.  Blocks are coded in groups of similar
+length, a lane each.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +16,8 @@ import numpy as np
 from ..plans.levels import method_pipeline, pipeline_method
 from . import lexicon, models, shred, transforms
 from .coding import side_decode, side_encode
-from .framing import get_varint, pack, put_varint, unpack
-from .matching import cut_runs, fill_runs, parse, read_runs, wire_decode, wire_encode, write_runs
+from .framing import pack, unpack
+from .matching import distances, parse, read_runs, wire_decode, wire_encode, write_runs
 from .transforms import CorruptBlock
 
 BYTE_LANES, BIT_LANES = 16, 128
@@ -107,8 +108,10 @@ def shannon(data: bytes) -> float:
 _TEXT_METHODS = {2, 5, 6, 7, 13, 15, 16}
 
 
-def _coder(method: int) -> tuple[str, str]:
+def _coder(method: int, stack: models.Stack | None) -> tuple[str | models.Stack, str]:
     """Model and kind of parse for a method."""
+    if method == 1 and stack:
+        return stack, "Text"
     if method in _TEXT_METHODS or method == 1:
         return "Text", "Text"
     if method in (3, 4):
@@ -116,19 +119,29 @@ def _coder(method: int) -> tuple[str, str]:
     return ("deep", "Binary") if method in (8, 14) else ("shallow", "Text")
 
 
-def encode_blocks(blocks: Sequence[tuple[str, str | None, bytes]], mode: str, words: list[bytes], floor: int = STRUCTURED_FLOOR, plain_floor: int = PLAIN_FLOOR) -> list[Coded]:
-    """Payloads of ``(kind, structure, bytes)`` blocks, in their order."""
+def encode_blocks(
+    blocks: Sequence[tuple[str, str | None, bytes]], mode: str, words: list[bytes], floor: int = STRUCTURED_FLOOR, plain_floor: int = PLAIN_FLOOR,
+    stack: models.Stack | None = None,
+) -> list[Coded]:
+    """Payloads of ``(kind, structure, bytes)`` blocks, in their order.
+
+    A ``stack`` of models of one's own codes all blocks but random ones, whatever the mode; the
+    same stack is needed to decode them.
+    """
+    stack = models.check_stack(stack) if stack else None
     out: dict[int, Coded] = {}
-    jobs: dict[str, list[tuple[int, int, bytes]]] = defaultdict(list)
+    jobs: dict[str | models.Stack, list[tuple[int, int, bytes]]] = defaultdict(list)
     for i, (kind, structure, data) in enumerate(blocks):
         slow = mode == "slow" or mode == "hybrid" and kind in ("Binary", "Exec")
-        if mode == "wire":
+        if mode == "wire" and not stack:
             out[i] = _least(Coded(19, len(data), side_encode(wire_encode(data))), data)
             continue
         if kind == "Random":
             out[i] = Coded(0, len(data), data)
             continue
-        if kind == "Exec":
+        if stack:
+            method, coded = 1, data
+        elif kind == "Exec":
             method, coded = (4 if slow else 14), transforms.e8e9(data)
         elif kind == "Binary":
             method, coded = (3 if slow else 8), data
@@ -137,17 +150,13 @@ def encode_blocks(blocks: Sequence[tuple[str, str | None, bytes]], mode: str, wo
         else:
             name, coded = trial(data, candidates(data, structure, words, shannon(data), floor, plain_floor), words)
             method = 20 if name == "raw" and not slow else pipeline_method(name, "slow" if slow else "fast")
-        jobs[_coder(method)[0]].append((i, method, coded))
+        jobs[_coder(method, stack)[0]].append((i, method, coded))
     for coder, todo in jobs.items():
-        ready = [(i, method, coded, parse(coded, _coder(method)[1])) for i, method, coded in todo]
-        ready = sorted(((i, m, c, r, cut_runs(c, r)) for i, m, c, r in ready), key=lambda x: len(x[4]))
-        lanes = BIT_LANES if coder in models.STACKS else BYTE_LANES
-        for at in range(0, len(ready), lanes):
-            group = ready[at : at + lanes]
-            for (i, method, coded, runs, rest), stream in zip(group, _encode([g[4] for g in group], coder)):
-                head = bytearray()
-                put_varint(head, len(rest))
-                out[i] = _least(Coded(method, len(coded), pack([bytes(head), side_encode(write_runs(runs)), stream])), blocks[i][2])
+        ready = sorted(((i, m, c, parse(c, _coder(m, stack)[1])) for i, m, c in todo), key=lambda x: len(x[2]))
+        for group in _groups(ready, coder):
+            streams = _encode([g[2] for g in group], coder, [distances(g[3], len(g[2])) for g in group])
+            for (i, method, coded, runs), stream in zip(group, streams):
+                out[i] = _least(Coded(method, len(coded), pack([side_encode(write_runs(runs)), stream])), blocks[i][2])
     return [out[i] for i in range(len(blocks))]
 
 
@@ -155,18 +164,29 @@ def _least(coded: Coded, data: bytes) -> Coded:
     return coded if len(coded.payload) < len(data) else Coded(0, len(data), data)
 
 
-def _encode(blocks: list[bytes], coder: str) -> list[bytes]:
-    return models.bits_encode(blocks, models.STACKS[coder]) if coder in models.STACKS else models.bytes_encode(blocks, coder == "deep")
+def _groups(ready: list, coder: str | models.Stack) -> Iterator[list]:
+    lanes = BYTE_LANES if coder in ("deep", "shallow") else BIT_LANES
+    for at in range(0, len(ready), lanes):
+        yield ready[at : at + lanes]
+
+
+def _encode(blocks: list[bytes], coder: str | models.Stack, back: list[np.ndarray]) -> list[bytes]:
+    if coder in ("deep", "shallow"):
+        return models.bytes_encode(blocks, coder == "deep", back)
+    return models.bits_encode(blocks, models.STACKS.get(coder, coder), back)
 
 
-def _decode(streams: list[bytes], sizes: list[int], coder: str) -> list[bytes]:
-    return models.bits_decode(streams, sizes, models.STACKS[coder]) if coder in models.STACKS else models.bytes_decode(streams, sizes, coder == "deep")
+def _decode(streams: list[bytes], sizes: list[int], coder: str | models.Stack, back: list[np.ndarray]) -> list[bytes]:
+    if coder in ("deep", "shallow"):
+        return models.bytes_decode(streams, sizes, coder == "deep", back)
+    return models.bits_decode(streams, sizes, models.STACKS.get(coder, coder), back)
 
 
-def decode_blocks(blocks: Sequence[Coded], words: list[bytes]) -> list[bytes]:
+def decode_blocks(blocks: Sequence[Coded], words: list[bytes], stack: models.Stack | None = None) -> list[bytes]:
     """The bytes of blocks, in their order; broken payloads and unknown methods raise."""
+    stack = models.check_stack(stack) if stack else None
     out: dict[int, bytes] = {}
-    jobs: dict[str, list] = defaultdict(list)
+    jobs: dict[str | models.Stack, list] = defaultdict(list)
     for i, b in enumerate(blocks):
         pipeline = method_pipeline(b.method)
         if b.method == 0:
@@ -175,17 +195,12 @@ def decode_blocks(blocks: Sequence[Coded], words: list[bytes]) -> list[bytes]:
             out[i] = wire_decode(side_decode(b.payload), b.coded_len)
         else:
             parts = unpack(b.payload)
-            if len(parts) != 3:
+            if len(parts) != 2:
                 raise CorruptBlock("a payload without its parts")
-            size, _ = get_varint(parts[0], 0)
-            if size > b.coded_len:
-                raise CorruptBlock("more literals than bytes")
-            jobs[_coder(b.method)[0]].append((size, i, pipeline, read_runs(side_decode(parts[1])), parts[2]))
+            jobs[_coder(b.method, stack)[0]].append((b.coded_len, i, pipeline, distances(read_runs(side_decode(parts[0])), b.coded_len), parts[1]))
     for coder, todo in jobs.items():
         todo.sort(key=lambda x: x[0])
-        lanes = BIT_LANES if coder in models.STACKS else BYTE_LANES
-        for at in range(0, len(todo), lanes):
-            group = todo[at : at + lanes]
-            for (_, i, pipeline, runs, _), rest in zip(group, _decode([g[4] for g in group], [g[0] for g in group], coder)):
-                out[i] = PIPELINES[pipeline][1](fill_runs(rest, runs, blocks[i].coded_len), words)
+        for group in _groups(todo, coder):
+            for (_, i, pipeline, _, _), data in zip(group, _decode([g[4] for g in group], [g[0] for g in group], coder, [g[3] for g in group])):
+                out[i] = PIPELINES[pipeline][1](data, words)
     return [out[i] for i in range(len(blocks))]

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from ..sources.members import UnsafeName, check_name
-from . import codecs, lexicon
+from . import codecs, lexicon, models
 from .classify import cut
 from .transforms import CorruptBlock
 
@@ -87,17 +87,17 @@ def read_members(data: bytes, at: int, blocks: int) -> tuple[list[Member], int]:
     return members, at
 
 
-def compress_archive(members: Sequence[tuple[str, bytes]], mode: str = "hybrid", **floors: int) -> bytes:
-    """A container of named members; at least one is needed."""
+def compress_archive(members: Sequence[tuple[str, bytes]], mode: str = "hybrid", stack: models.Stack | None = None, **floors: int) -> bytes:
+    """A container of named members; at least one is needed.  A ``stack`` of models of one's own is not stored in it."""
     if not members:
         raise ValueError("nothing to archive")
-    words = [] if mode in ("wire", "general") else lexicon.build(b"".join(d for _, d in members))
+    words = [] if stack or mode in ("wire", "general") else lexicon.build(b"".join(d for _, d in members))
     blocks, table = [], []
     for name, data in members:
-        cuts = cut(data, mode == "wire")
+        cuts = cut(data, mode == "wire" and not stack)
         table.append(Member(name, len(blocks), len(cuts)))
         blocks += [(kind, _structure(data[a:b]) if kind == "Text" else None, data[a:b]) for a, b, kind in cuts]
-    coded = codecs.encode_blocks(blocks, mode, words, **floors)
+    coded = codecs.encode_blocks(blocks, mode, words, stack=stack, **floors)
     out = write_header(len(coded), bool(words))
     if words:
         body = lexicon.write(words)
@@ -107,7 +107,7 @@ def compress_archive(members: Sequence[tuple[str, bytes]], mode: str = "hybrid",
     return out + b"".join(c.payload for c in coded)
 
 
-def decompress_archive(data: bytes) -> list[tuple[str, bytes]]:
+def decompress_archive(data: bytes, stack: models.Stack | None = None) -> list[tuple[str, bytes]]:
     version, flags, count = read_header(data)
     at, words = HEADER.size, []
     if flags & HAS_WORDS:
@@ -129,7 +129,7 @@ def decompress_archive(data: bytes) -> list[tuple[str, bytes]]:
         coded.append(codecs.Coded(method, coded_len, data[at : at + size]))
         at += size
     try:
-        raw = codecs.decode_blocks(coded, words)
+        raw = codecs.decode_blocks(coded, words, stack)
     except CorruptBlock:
         raise
     except (ValueError, IndexError, KeyError, OverflowError, struct.error) as e:
@@ -140,13 +140,13 @@ def decompress_archive(data: bytes) -> list[tuple[str, bytes]]:
     return [(m.name, b"".join(raw[m.first_block : m.first_block + m.num_blocks])) for m in members]
 
 
-def compress(data: bytes, mode: str = "hybrid", **floors: int) -> bytes:
-    return compress_archive([("data", data)], mode, **floors)
+def compress(data: bytes, mode: str = "hybrid", stack: models.Stack | None = None, **floors: int) -> bytes:
+    return compress_archive([("data", data)], mode, stack, **floors)
 
 
-def decompress(container: bytes) -> bytes:
+def decompress(container: bytes, stack: models.Stack | None = None) -> bytes:
     """The one member of a container; several are an error."""
-    members = decompress_archive(container)
+    members = decompress_archive(container, stack)
     if len(members) > 1:
         raise InvalidContainer(f"{len(members)} members; read them as an archive")
     return members[0][1] if members else b""

@@ -171,29 +171,20 @@ def parse_cost(data: bytes, kind: str, runs: list[Run]) -> float:
     return MATCH_BITS * len(runs) + LITERAL_BITS[kind] * (len(data) - sum(r.length for r in runs))
 
 
-def cut_runs(data: bytes, runs: list[Run]) -> bytes:
-    """The bytes outside runs."""
-    out, at = bytearray(), 0
-    for r in runs:
-        out += data[at : r.at]
-        at = r.at + r.length
-    return bytes(out + data[at:])
-
+def distances(runs: list[Run], size: int) -> np.ndarray:
+    """For each byte of a block how far before it stands again, or 0 outside runs.
 
-def fill_runs(literals: bytes, runs: list[Run], size: int, history: bytes = b"") -> bytes:
-    """A block from its literals and runs; a distance beyond what is known is an error."""
-    out, at = bytearray(history), 0
+    Runs out of order, beyond the block or from before its start are an error.
+    """
+    out, end = np.zeros(size, np.int32), 0
     for r in runs:
-        count = r.at - (len(out) - len(history))
-        if count < 0 or at + count > len(literals):
-            raise CorruptBlock("runs out of order")
-        out += literals[at : at + count]
-        at += count
-        _copy(out, r.distance, r.length)
-    out += literals[at:]
-    if len(out) - len(history) != size:
-        raise CorruptBlock("runs do not fill the block")
-    return bytes(out[len(history) :])
+        if r.at < end or r.length < 1 or r.at + r.length > size:
+            raise CorruptBlock("runs out of order or beyond the block")
+        if not 0 < r.distance <= r.at:
+            raise CorruptBlock("match before the start of the block")
+        end = r.at + r.length
+        out[r.at : end] = r.distance
+    return out
 
 
 def write_runs(runs: list[Run]) -> bytes:

@@ -2,11 +2,14 @@
 
 A lane is a block.  All lanes take the same step at once, so that numpy does the work of a step
 for all of them; a lane that has ended stands by.  Encoder and decoder run the same model over
-the same bytes, hence no table is stored.
+the same bytes, hence no table is stored.  Bytes that repeat earlier ones are copied, not
+coded, but the model learns from them too, so that every context is of the bytes that stand there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from .coding import SCALE, Decoder, Encoder
@@ -105,43 +108,61 @@ class ByteModel:
 
 def _grid(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(b) for b in blocks], np.int64)
-    grid = np.zeros((int(sizes.max(initial=0)), len(blocks)), np.int64)
+    grid = np.zeros((int(sizes.max(initial=0)), len(blocks)), np.uint8)
     for k, b in enumerate(blocks):
         grid[: len(b), k] = np.frombuffer(b, np.uint8)
     return grid, sizes
 
 
-def bytes_encode(blocks: list[bytes], deep: bool) -> list[bytes]:
-    """One stream for each block, coded byte by byte."""
+def _sources(sizes: np.ndarray, back: list[np.ndarray] | None) -> np.ndarray:
+    """Distances of copied bytes by step and lane; 0 for coded ones, -1 behind the end of a block."""
+    grid = np.where(np.arange(int(sizes.max(initial=0)))[:, None] < sizes, np.int32(0), np.int32(-1))
+    for k, distance in enumerate(back or ()):
+        grid[: len(distance), k] = distance
+    return grid
+
+
+def bytes_encode(blocks: list[bytes], deep: bool, back: list[np.ndarray] | None = None) -> list[bytes]:
+    """One stream for each block, coded byte by byte where its distances ``back`` are 0."""
     grid, sizes = _grid(blocks)
+    source = _sources(sizes, back)
     model, lane = ByteModel(len(blocks), deep), np.arange(len(blocks))
-    start, size = np.zeros_like(grid), np.ones_like(grid)
+    start, size = np.zeros(grid.shape, np.uint16), np.ones(grid.shape, np.uint16)
     for t in range(len(grid)):
-        live, width = t < sizes, model.predict()
-        start[t] = np.cumsum(width, axis=1)[lane, grid[t]] - width[lane, grid[t]]
-        size[t] = width[lane, grid[t]]
-        model.update(grid[t], live)
-    return _backward(start, size, sizes)
-
-
-def _backward(start: np.ndarray, size: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    coder = Encoder(len(sizes))
+        byte = grid[t].astype(np.int64)
+        if (source[t] == 0).any():
+            width = model.predict()
+            start[t] = np.cumsum(width, axis=1)[lane, byte] - width[lane, byte]
+            size[t] = width[lane, byte]
+        model.update(byte, t < sizes)
+    return _backward(start, size, source == 0)
+
+
+def _backward(start: np.ndarray, size: np.ndarray, live: np.ndarray) -> list[bytes]:
+    """Streams of all steps; ``live`` has a row for each eight steps of bits or each step of bytes."""
+    coder, times = Encoder(live.shape[1]), len(start) // max(1, len(live))
     for t in range(len(start) - 1, -1, -1):
-        coder.step(start[t], size[t], t < sizes)
+        if live[t // times].any():
+            coder.step(start[t].astype(np.int64), size[t].astype(np.int64), live[t // times])
     return coder.streams()
 
 
-def bytes_decode(streams: list[bytes], sizes: list[int], deep: bool) -> list[bytes]:
+def bytes_decode(streams: list[bytes], sizes: list[int], deep: bool, back: list[np.ndarray] | None = None) -> list[bytes]:
     n = np.array(sizes, np.int64)
+    source = _sources(n, back)
     model, coder, lane = ByteModel(len(streams), deep), Decoder(streams), np.arange(len(streams))
-    out = np.zeros((int(n.max(initial=0)), len(streams)), np.uint8)
+    out = np.zeros(source.shape, np.uint8)
     for t in range(len(out)):
-        live, width = t < n, model.predict()
-        ends = np.cumsum(width, axis=1)
-        byte = (ends <= coder.slots()[:, None]).sum(axis=1)
-        coder.step(ends[lane, byte] - width[lane, byte], width[lane, byte], live)
+        coded, copied = source[t] == 0, np.flatnonzero(source[t] > 0)
+        byte = np.zeros(len(lane), np.int64)
+        if coded.any():
+            width = model.predict()
+            ends = np.cumsum(width, axis=1)
+            byte = (ends <= coder.slots()[:, None]).sum(axis=1)
+            coder.step(ends[lane, byte] - width[lane, byte], width[lane, byte], coded)
+        byte[copied] = out[t - source[t, copied], copied]
         out[t] = byte
-        model.update(byte, live)
+        model.update(byte, t < n)
     coder.finish()
     return [out[: sizes[k], k].tobytes() for k in range(len(streams))]
 
@@ -156,8 +177,13 @@ for _group, _chars in (
 ):
     CLASS[[ord(c) for c in _chars]] = _group
 
+#: A part of a stack: its name, or a function from the model to the numbers, one for each lane,
+#: whose hash is a context of the next bit.
+Part = str | Callable[["BitModel"], tuple]
+Stack = tuple[Part, ...]
+
 #: Models by kind of block.  Each is a context of the next bit, apart from match, ppm and ppmd.
-STACKS = {
+STACKS: dict[str, Stack] = {
     "Text": ("order0", "order1", "order2", "order3", "sparse", "word", "match", "ppm"),
     "Binary": ("order0", "order1", "order2", "sparse", "delta", "match", "ppm"),
     "Exec": ("order0", "order1", "order2", "sparse", "match", "ppm"),
@@ -166,7 +192,24 @@ STACKS = {
     "ppmd": ("order1", "order2", "order3", "order4", "order6", "order8", "sparse", "ppmd"),
     "indirect": ("order0", "order1", "order2", "indirect"),
 }
-CONTEXTS = ("order0", "order1", "order2", "order3", "order4", "order6", "order8", "sparse", "delta", "word", "indirect")
+CONTEXTS: dict[str, Callable[["BitModel"], tuple]] = {
+    "order0": lambda m: (0,), "order1": lambda m: (1, m.last[0]), "order2": lambda m: (2, *m.last[:2]), "order3": lambda m: (3, *m.last[:3]),
+    "order4": lambda m: (4, *m.last[:4]), "order6": lambda m: (6, *m.last[:6]), "order8": lambda m: (8, *m.last[:8]),
+    "sparse": lambda m: (9, m.last[1], m.last[2]), "delta": lambda m: (10, m.last[0], (m.last[0] - m.last[1]) & 255),
+    "word": lambda m: (11, m.word, m.last[0]),
+    "indirect": lambda m: (12, m.after[m.lane, m.last[0] << 8 | m.last[1]].astype(np.int64), m.last[0]),
+}
+EXTRAS = ("match", "ppm", "ppmd")
+
+
+def check_stack(stack: Stack) -> Stack:
+    """The stack as a tuple, if every part is known and one at least is a context."""
+    for part in stack:
+        if not callable(part) and part not in CONTEXTS and part not in EXTRAS:
+            raise ValueError(f"no such model: {part}")
+    if all(part in EXTRAS for part in stack):
+        raise ValueError("a stack without a context")
+    return tuple(stack)
 
 
 def stretch(p: np.ndarray) -> np.ndarray:
@@ -223,9 +266,9 @@ class Refiner:
 class BitModel:
     """The next bit of each lane: a stack of models, mixed, then refined twice."""
 
-    def __init__(self, lanes: int, stack: tuple[str, ...]):
-        self.names = [m for m in stack if m in CONTEXTS]
-        self.extra = [m for m in stack if m not in CONTEXTS]
+    def __init__(self, lanes: int, stack: Stack):
+        self.names = [m for m in check_stack(stack) if m not in EXTRAS]
+        self.extra = [m for m in stack if m in EXTRAS]
         size = 1 << TABLE_BITS
         self.zeros = np.full((lanes, len(self.names), size), 0.4, np.float32)
         self.ones = np.full((lanes, len(self.names), size), 0.4, np.float32)
@@ -244,14 +287,8 @@ class BitModel:
         self._contexts()
 
     def _contexts(self) -> None:
-        h = self.last
-        made = {
-            "order0": (0,), "order1": (1, h[0]), "order2": (2, h[0], h[1]), "order3": (3, h[0], h[1], h[2]),
-            "order4": (4, *h[:4]), "order6": (6, *h[:6]), "order8": (8, *h[:8]), "sparse": (9, h[1], h[2]),
-            "delta": (10, h[0], (h[0] - h[1]) & 255), "word": (11, self.word, h[0]),
-            "indirect": (12, self.after[self.lane, h[0] << 8 | h[1]].astype(np.int64), h[0]),
-        }
-        self.base = np.stack([hashed(*made[m], np.zeros(self.lanes, np.int64), bits=30) for m in self.names], axis=1)
+        made = [CONTEXTS.get(m, m)(self) for m in self.names]
+        self.base = np.stack([hashed(*parts, np.zeros(self.lanes, np.int64), bits=30) for parts in made], axis=1)
 
     def _cells(self) -> np.ndarray:
         x = (self.base + self.node[:, None] * 0x2F0B4C47) & 0x3FFFFFFF
@@ -286,7 +323,7 @@ class BitModel:
         total = np.full(self.lanes, 0.5)
         weight = 0.5 if name == "ppm" else 0.3
         for k, m in enumerate(self.names):
-            if m.startswith("order"):
+            if isinstance(m, str) and m.startswith("order"):
                 seen = (self.n0[:, k] + self.n1[:, k] - 0.8).clip(0)
                 sure = seen / (seen + weight)
                 total = sure * p[:, k] + (1 - sure) * total
@@ -324,34 +361,37 @@ class BitModel:
         self._contexts()
 
 
-def bits_encode(blocks: list[bytes], stack: tuple[str, ...]) -> list[bytes]:
-    """One stream for each block, coded bit by bit."""
+def bits_encode(blocks: list[bytes], stack: Stack, back: list[np.ndarray] | None = None) -> list[bytes]:
+    """One stream for each block, coded bit by bit where its distances ``back`` are 0."""
     grid, sizes = _grid(blocks)
+    source = _sources(sizes, back)
     model = BitModel(len(blocks), stack)
     steps = len(grid) * 8
-    start, size = np.zeros((steps, len(blocks)), np.int64), np.ones((steps, len(blocks)), np.int64)
+    start, size = np.zeros((steps, len(blocks)), np.uint16), np.ones((steps, len(blocks)), np.uint16)
     for t in range(len(grid)):
         live = t < sizes
         for b in range(8):
             ones = np.rint(model.predict() * SCALE).astype(np.int64).clip(1, SCALE - 1)
-            bit = grid[t] >> (7 - b) & 1
+            bit = grid[t].astype(np.int64) >> (7 - b) & 1
             start[8 * t + b] = np.where(bit == 1, 0, ones)
             size[8 * t + b] = np.where(bit == 1, ones, SCALE - ones)
             model.update(bit, live)
         model.end_byte(live)
-    return _backward(start, size, sizes * 8)
+    return _backward(start, size, source == 0)
 
 
-def bits_decode(streams: list[bytes], sizes: list[int], stack: tuple[str, ...]) -> list[bytes]:
+def bits_decode(streams: list[bytes], sizes: list[int], stack: Stack, back: list[np.ndarray] | None = None) -> list[bytes]:
     n = np.array(sizes, np.int64)
-    model, coder = BitModel(len(streams), stack), Decoder(streams)
-    out = np.zeros((int(n.max(initial=0)), len(streams)), np.uint8)
+    source = _sources(n, back)
+    model, coder, lane = BitModel(len(streams), stack), Decoder(streams), np.arange(len(streams))
+    out = np.zeros(source.shape, np.uint8)
     for t in range(len(out)):
-        live = t < n
-        for _ in range(8):
+        live, coded = t < n, source[t] == 0
+        copy = out[t - np.maximum(source[t], 0), lane].astype(np.int64)
+        for b in range(8):
             ones = np.rint(model.predict() * SCALE).astype(np.int64).clip(1, SCALE - 1)
-            bit = (coder.slots() < ones).astype(np.int64)
-            coder.step(np.where(bit == 1, 0, ones), np.where(bit == 1, ones, SCALE - ones), live)
+            bit = np.where(coded, coder.slots() < ones, copy >> (7 - b) & 1).astype(np.int64)
+            coder.step(np.where(bit == 1, 0, ones), np.where(bit == 1, ones, SCALE - ones), coded)
             model.update(bit, live)
         out[t] = model.node & 255
         model.end_byte(live)

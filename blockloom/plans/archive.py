@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..kernels import codecs
+from ..kernels import codecs, models
 from ..operators import blocks as block_ops
 from ..operators import words as word_ops
 from .levels import method_label, resolve_mode
 
 CODED = "member_id long, block_id int, start long, kind string, raw_len long, coded_len long, comp_len long, method int, crc32 long, payload binary"
-VERSION = 1
+VERSION = 2
 
 
 def words_for(members: DataFrame, mode: str) -> list[bytes]:
@@ -32,8 +32,8 @@ def words_for(members: DataFrame, mode: str) -> list[bytes]:
     return word_ops.collect_words(word_ops.dictionary(counts))
 
 
-def encode(blocks: DataFrame, mode: str, words: list[bytes], floor: int = codecs.STRUCTURED_FLOOR, plain_floor: int = codecs.PLAIN_FLOOR) -> DataFrame:
-    """Blocks ``(member_id, block_id, start, kind, raw)`` to coded blocks.
+def encode(blocks: DataFrame, mode: str, words: list[bytes], floor: int = codecs.STRUCTURED_FLOOR, plain_floor: int = codecs.PLAIN_FLOOR, stack: models.Stack | None = None) -> DataFrame:
+    """Blocks ``(member_id, block_id, start, kind, raw)`` to coded blocks, with a stack of models of one's own if given.
 
     The structure of text blocks is found by expressions first; trials and coding are one pass.
     """
@@ -53,7 +53,7 @@ def encode(blocks: DataFrame, mode: str, words: list[bytes], floor: int = codecs
                 part = batch.slice(at, stop - at)
                 data = raw[at:stop]
                 kinds, shapes = part.column("kind").to_pylist(), part.column("structure").to_pylist()
-                coded = codecs.encode_blocks(list(zip(kinds, shapes, data)), mode, words, floor, plain_floor)
+                coded = codecs.encode_blocks(list(zip(kinds, shapes, data)), mode, words, floor, plain_floor, stack)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(c) for c in ("member_id", "block_id", "start", "kind")), pa.array([len(x) for x in data], pa.int64()),
@@ -74,7 +74,7 @@ def spread(blocks: DataFrame) -> DataFrame:
     return blocks.repartition(parts, F.xxhash64("member_id", "block_id"))
 
 
-def decode(coded: DataFrame, words: list[bytes], permissive: bool = False) -> DataFrame:
+def decode(coded: DataFrame, words: list[bytes], permissive: bool = False, stack: models.Stack | None = None) -> DataFrame:
     """``(member_id, block_id, start, raw, error)``: bytes of coded blocks, checked by length and CRC.
 
     A broken block fails the query, or has an error and no bytes if ``permissive``.
@@ -85,7 +85,7 @@ def decode(coded: DataFrame, words: list[bytes], permissive: bool = False) -> Da
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("method", "coded_len", "payload", "raw_len", "crc32"))))
             blocks = [codecs.Coded(m, n, p) for m, n, p, _, _ in rows]
-            raw, error = _decoded(blocks, words, permissive)
+            raw, error = _decoded(blocks, words, permissive, stack)
             for i, (_, _, _, size, crc) in enumerate(rows):
                 if error[i] is None and (len(raw[i]) != size or zlib.crc32(raw[i]) != crc):
                     error[i] = f"CrcMismatch: {zlib.crc32(raw[i])} for {crc}"
@@ -101,16 +101,16 @@ def decode(coded: DataFrame, words: list[bytes], permissive: bool = False) -> Da
     return keep.mapInArrow(run, "member_id long, block_id int, start long, raw binary, error string")
 
 
-def _decoded(blocks: list[codecs.Coded], words: list[bytes], permissive: bool) -> tuple[list, list]:
+def _decoded(blocks: list[codecs.Coded], words: list[bytes], permissive: bool, stack: models.Stack | None) -> tuple[list, list]:
     try:
-        return codecs.decode_blocks(blocks, words), [None] * len(blocks)
+        return codecs.decode_blocks(blocks, words, stack), [None] * len(blocks)
     except Exception:
         if not permissive:
             raise
     raw, error = [], []
     for b in blocks:
         try:
-            raw.append(codecs.decode_blocks([b], words)[0])
+            raw.append(codecs.decode_blocks([b], words, stack)[0])
             error.append(None)
         except Exception as e:  # noqa: BLE001  any way in which a payload can be broken
             raw.append(None)
@@ -123,16 +123,17 @@ def join_blocks(decoded: DataFrame) -> DataFrame:
     return decoded.groupBy("member_id").agg(F.expr("listagg(raw) within group (order by block_id)").alias("content"))
 
 
-def compress(members: DataFrame, level: int | None = None, mode: str | None = None, window: int | None = 1 << 20, **floors: int) -> tuple[DataFrame, list[bytes]]:
+def compress(members: DataFrame, level: int | None = None, mode: str | None = None, window: int | None = 1 << 20, stack: models.Stack | None = None, **floors: int) -> tuple[DataFrame, list[bytes]]:
     """Coded blocks of ``(member_id, name, content)``, and the dictionary they were written with."""
     mode = resolve_mode(level, mode)
-    words = words_for(members, mode)
-    return encode(block_ops.cut(members, mode == "wire", window), mode, words, **floors), words
+    stack = models.check_stack(stack) if stack else None
+    words = [] if stack else words_for(members, mode)
+    return encode(block_ops.cut(members, mode == "wire" and not stack, window), mode, words, stack=stack, **floors), words
 
 
-def decompress(coded: DataFrame, members: DataFrame, words: list[bytes]) -> DataFrame:
+def decompress(coded: DataFrame, members: DataFrame, words: list[bytes], stack: models.Stack | None = None) -> DataFrame:
     """``(member_id, name, content)`` of every member, those without blocks too."""
-    whole = join_blocks(decode(coded, words))
+    whole = join_blocks(decode(coded, words, stack=stack))
     return members.select("member_id", "name").join(whole, "member_id", "left").withColumn("content", F.coalesce("content", F.lit(b"")))
 
 

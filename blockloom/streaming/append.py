@@ -11,18 +11,19 @@ from ..plans.archive import encode
 from ..plans.levels import resolve_mode
 
 
-def encode_stream(members: DataFrame, level: int | None = None, mode: str | None = None, window: int = 1 << 20) -> DataFrame:
+def encode_stream(members: DataFrame, level: int | None = None, mode: str | None = None, window: int = 1 << 20, words: list[bytes] | None = None, **floors: int) -> DataFrame:
     """Coded blocks of a stream of ``(member_id, name, content)``.
 
-    Blocks are independent and written without a dictionary, so no state is kept.
+    Blocks are independent, so no state is kept.  A stream has no counts to make a dictionary of:
+    it is given, from a sample or an earlier archive, or there is none; decoding needs the same.
     """
     mode = resolve_mode(level, mode)
-    return encode(block_ops.cut(members, mode == "wire", window), mode, [])
+    return encode(block_ops.cut(members, mode == "wire", window), mode, words or [], **floors)
 
 
-def append(members: DataFrame, path: str, checkpoint: str, level: int | None = None, mode: str | None = None) -> DataStreamWriter:
+def append(members: DataFrame, path: str, checkpoint: str, level: int | None = None, mode: str | None = None, words: list[bytes] | None = None, **floors: int) -> DataStreamWriter:
     """A writer that appends coded blocks to a folder, each batch once."""
-    return encode_stream(members, level, mode).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return encode_stream(members, level, mode, words=words, **floors).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
 def kind_counts(members: DataFrame, time: str, delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

@@ -131,14 +131,14 @@ def test_parse_is_the_cheapest():
 
     data = b"abcdefghijklmnop-abcdefghijklmnop+abcdefghijklmnop"
     runs = matching.parse(data, "Text")
-    assert matching.fill_runs(matching.cut_runs(data, runs), runs, len(data)) == data
+    assert matching.distances(runs, len(data)).tolist() == [0] * 17 + [17] * 16 + [0] + [runs[1].distance] * 16
     assert matching.parse_cost(data, "Text", runs) == least(data, "Text", {17: [16], 34: [16]})
     assert matching.read_runs(matching.write_runs(runs)) == runs
-    with pytest.raises(CorruptBlock):
-        matching.fill_runs(b"", [matching.Run(0, 4, 9)], 4)
+    for broken in ([(0, 4, 9)], [(4, 3, 0)], [(4, 9, 1)], [(5, 3, 1), (6, 2, 1)], [(5, 0, 1)]):
+        with pytest.raises(CorruptBlock):
+            matching.distances([matching.Run(*r) for r in broken], 12)
     history = b"0123456789abcdefghij"
-    runs = matching.parse(history, "Binary", history)
-    assert runs and matching.fill_runs(matching.cut_runs(history, runs), runs, 20, history) == history
+    assert [(r.at, r.distance) for r in matching.parse(history, "Binary", history)] == [(0, 20)]
 
 
 def test_frequencies_fill_the_scale():
@@ -166,6 +166,39 @@ def test_bit_models(stack):
     assert len(streams[3]) < 30
 
 
+def test_models_learn_from_copied_bytes():
+    """Copies cost nothing, come back, and make what follows cheaper than if only the rest were seen."""
+    rng = random.Random(7)
+    piece = bytes(rng.choice(b"abcdefgh") for _ in range(400))
+    data = piece * 3 + piece[:200] + b"!" + piece[200:]
+    runs = [matching.Run(400, 255, 400), matching.Run(655, 255, 400), matching.Run(910, 255, 400)]
+    back = [matching.distances(runs, len(data)), np.zeros(5, np.int32)]
+    for there, again, model in ((models.bytes_encode, models.bytes_decode, True), (models.bits_encode, models.bits_decode, models.STACKS["ppm3"])):
+        streams = there([data, b"other"], model, back)
+        assert again(streams, [len(data), 5], model, back) == [data, b"other"]
+        rest = b"".join(data[i : i + 1] for i in range(len(data)) if not back[0][i])
+        assert len(streams[0]) < len(there([rest], model)[0])
+
+
+def low_nibbles(model):
+    return 20, model.last[0] & 15, model.last[1] & 15
+
+
+@pytest.mark.parametrize("stack", [("order1", "order2"), ("order0", low_nibbles, "match", "ppm")])
+def test_stacks_of_ones_own(stack):
+    packed = container.compress_archive(mixed(), "wire", stack)
+    assert container.decompress_archive(packed, stack) == mixed()
+    assert len(packed) < sum(len(d) for _, d in mixed())
+    with pytest.raises((CorruptBlock, ValueError)):
+        container.decompress_archive(packed, ("order0",))
+
+
+def test_stacks_are_checked():
+    for stack in (("order9",), ("match", "ppm")):
+        with pytest.raises(ValueError):
+            container.compress(b"some text " * 20, stack=stack)
+
+
 def test_models_move_towards_what_they_see():
     mixer, inputs, bank = models.Mixer(1, 2, 1), np.array([[1.0, -0.5]]), np.zeros(1, int)
     before = mixer.mix(inputs, bank)[0]

@@ -223,6 +223,29 @@ def test_streams_of_members(spark, tmp_path):
     assert {r["kind"] for r in spark.table("kinds").collect()} == {"Text", "Random"}
 
 
+def test_streams_with_a_dictionary(spark, tmp_path):
+    text = b"alpha omega; " * 60
+    df = spark.createDataFrame([(1, "a", text)], "member_id long, name string, content binary")
+    df.write.parquet(str(tmp_path / "source"))
+    live = spark.readStream.schema(df.schema).parquet(str(tmp_path / "source"))
+    words = [b"alpha", b"omega"]
+    run = append.append(live, str(tmp_path / "coded"), str(tmp_path / "marks"), mode="slow", words=words, floor=64, plain_floor=64)
+    run.trigger(availableNow=True).start().awaitTermination()
+    coded = spark.read.schema(archive.CODED).parquet(str(tmp_path / "coded"))
+    assert scoring.round_trips(archive.decompress(coded, df, words), df).where("intact").count() == 1
+
+
+def test_archives_of_a_stack(spark):
+    rows = [(1, "a", b"so it goes, " * 30), (2, "noise", random.Random(2).randbytes(300)), (3, "none", b"")]
+    df = spark.createDataFrame(rows, "member_id long, name string, content binary")
+    stack = ("order1", "order2", "match")
+    coded, words = archive.compress(df, mode="wire", stack=stack)
+    assert words == [] and {r["method"] for r in coded.select("method").collect()} == {0, 1}
+    assert scoring.round_trips(archive.decompress(coded, df, words, stack), df).where("intact").count() == 3
+    with pytest.raises(ValueError, match="no such model"):
+        archive.compress(df, mode="wire", stack=("order9",))
+
+
 def test_scores(spark):
     own = spark.createDataFrame([("f", "e", 40.0, 5.0), ("g", "e", 0.1, 1.0)], "file string, engine string, ratio double, speed double")
     peer = spark.createDataFrame([("f", "p", 50.0, 9.0), ("g", "p", 0.4, 0.5)], "file string, engine string, ratio double, speed double")
