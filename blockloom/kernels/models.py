@@ -18,6 +18,7 @@ from .coding import SCALE, Decoder, Encoder
 ROWS, COUNT_CAP = 4096, 256
 LEAST1, LEAST2, LEAST3 = 2, 4, 6
 TABLE_BITS, RATE, DECAY = 13, 0.02, 0.995
+MASTER_RATE = 0.005  # of the mixer of mixers
 _HASH = 0x9E3779B1
 
 
@@ -223,8 +224,8 @@ def squash(x: np.ndarray) -> np.ndarray:
 class Mixer:
     """Weights by context bank; each bit moves them along the gradient of its coding cost."""
 
-    def __init__(self, lanes: int, inputs: int, banks: int, rate: float = RATE):
-        self.weight = np.full((lanes, banks, inputs), 1 / max(1, inputs) + 0.15)
+    def __init__(self, lanes: int, inputs: int, banks: int, rate: float = RATE, more: float = 0.15):
+        self.weight = np.full((lanes, banks, inputs), 1 / max(1, inputs) + more)
         self.rate, self.lane = rate, np.arange(lanes)
 
     def mix(self, inputs: np.ndarray, bank: np.ndarray) -> np.ndarray:
@@ -240,6 +241,23 @@ class Mixer:
         self.weight = 1 / self.weight.shape[2] + (self.weight - 1 / self.weight.shape[2]) * by
 
 
+class Banks:
+    """Mixers that choose their weights by context, each by its own, and a master that mixes them."""
+
+    def __init__(self, lanes: int, inputs: int, sizes: tuple[int, ...]):
+        self.mixers = [Mixer(lanes, inputs, n) for n in sizes]
+        self.master = Mixer(lanes, len(sizes), 1, MASTER_RATE, 0.0)
+        self.one = np.zeros(lanes, np.int64)
+
+    def mix(self, inputs: np.ndarray, banks: tuple[np.ndarray, ...]) -> np.ndarray:
+        parts = [m.mix(inputs, bank) for m, bank in zip(self.mixers, banks)]
+        return self.master.mix(stretch(np.clip(np.stack(parts, axis=1), 1e-4, 1 - 1e-4)), self.one)
+
+    def update(self, bit: np.ndarray, live: np.ndarray) -> None:
+        for m in (*self.mixers, self.master):
+            m.update(bit, live)
+
+
 class Refiner:
     """A probability corrected by what came of like ones in a small context, between two bins."""
 
@@ -264,7 +282,7 @@ class Refiner:
 
 
 class BitModel:
-    """The next bit of each lane: a stack of models, mixed, then refined twice."""
+    """The next bit of each lane: a stack of models, mixed by class, by byte and at large, then refined by three contexts."""
 
     def __init__(self, lanes: int, stack: Stack):
         self.names = [m for m in check_stack(stack) if m not in EXTRAS]
@@ -273,8 +291,8 @@ class BitModel:
         self.zeros = np.full((lanes, len(self.names), size), 0.4, np.float32)
         self.ones = np.full((lanes, len(self.names), size), 0.4, np.float32)
         self.lane, self.lanes = np.arange(lanes), lanes
-        self.mixer = Mixer(lanes, len(stack), 6 * 256)
-        self.first, self.second = Refiner(lanes, 256), Refiner(lanes, 1024)
+        self.mixer = Banks(lanes, len(stack), (6 * 256, 256, 1))
+        self.first, self.second, self.third = Refiner(lanes, 256), Refiner(lanes, 1024), Refiner(lanes, 1024)
         self.last = np.zeros((8, lanes), np.int64)
         self.word = np.zeros(lanes, np.int64)
         self.after = np.zeros((lanes, 65536), np.uint8)
@@ -303,11 +321,12 @@ class BitModel:
         for name in self.extra:
             parts.append(self._matched() if name == "match" else self._escaped(p, name))
         inputs = np.concatenate(parts, axis=1)
-        bank = CLASS[self.last[0]] * 256 + self.node
-        mixed = np.clip(self.mixer.mix(inputs, bank), 1e-4, 1 - 1e-4)
+        banks = CLASS[self.last[0]] * 256 + self.node, self.last[0], np.zeros_like(self.node)
+        mixed = np.clip(self.mixer.mix(inputs, banks), 1e-4, 1 - 1e-4)
         refined = self.first.refine(mixed, self.node)
         again = self.second.refine(np.clip(refined, 1e-4, 1 - 1e-4), (self.last[0] * 3 + self.node) & 1023)
-        return np.clip((2 * mixed + refined + again) / 4, 1 / SCALE, 1 - 1 / SCALE)
+        last = self.third.refine(np.clip(refined, 1e-4, 1 - 1e-4), np.minimum(self.run, 3) << 8 | self.node)
+        return np.clip((2 * mixed + refined + again + last) / 5, 1 / SCALE, 1 - 1 / SCALE)
 
     def _matched(self) -> np.ndarray:
         """The bit of the byte that followed the same four bytes, the surer the longer that held."""
@@ -338,6 +357,7 @@ class BitModel:
         self.mixer.update(bit, live)
         self.first.update(bit, live)
         self.second.update(bit, live)
+        self.third.update(bit, live)
         self.node = np.where(live, self.node << 1 | bit, self.node)
 
     def end_byte(self, live: np.ndarray) -> None:

@@ -207,6 +207,11 @@ def test_models_move_towards_what_they_see():
     heavy = mixer.weight.copy()
     mixer.decay()
     assert (np.abs(mixer.weight - 0.5) < np.abs(heavy - 0.5) + 1e-12).all()
+    banks = models.Banks(1, 2, (4, 1))
+    before = banks.mix(inputs, (np.array([3]), bank))[0]
+    banks.update(np.array([1]), np.array([True]))
+    assert banks.mix(inputs, (np.array([3]), bank))[0] > before
+    assert (banks.mixers[0].weight[0, :3] == banks.mixers[0].weight[0, 0]).all() and banks.mixers[0].weight[0, 3, 0] > banks.mixers[0].weight[0, 0, 0]
     refiner = models.Refiner(1, 1)
     before = refiner.refine(np.array([0.3]), bank)[0]
     refiner.update(np.array([1]), np.array([True]))
