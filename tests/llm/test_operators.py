@@ -434,3 +434,17 @@ def test_empty_tables(spark):
 
 def test_every_operator_is_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_tokens_all_words_are_folded(spark, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = byte_bpe.read_ranks(path)
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("qxzjkv") for _ in range(12 + i % 5))) for i in range(300)] + [(300, "the"), (301, "q" * 50), (302, None)]
+    monkeypatch.setattr(byte_bpe, "merged", lambda word, table: F.array(F.lit(7), F.length(word)))
+    for r in byte_bpe.encode(spark, frame(spark, rows), path, public_tokenizers.PATTERN, longest=40, sample_docs=5).collect():
+        text = (dict(rows)[r["doc_id"]] or "").encode()
+        want = byte_bpe.merge_word(text, ranks) if len(text) > 40 or text in ranks else [7, 2 * len(text)] if text else []
+        assert r["ids"] == want and r["intact"] == (len(text) > 40 or text in ranks or not text)
