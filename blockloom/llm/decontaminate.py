@@ -2,10 +2,11 @@
 
 1. Passages are runs of words, folded to lower case and split at ASCII punctuation too.  Spark
    counts in how many passages of the corpus's different texts each benchmark term occurs.
-2. The TF-IDF passages of the benchmark and of a bounded sample of the corpus get a latent space
-   by a randomised SVD: products with a random, then an orthogonal, narrow matrix are summed
-   over Spark's partitions, so that only matrices of fixed width come to the driver, and of
-   bounded height, since items are taken in blocks of at most MAX_TERMS terms.
+   In the same pass it counts how often each two of them stand in one passage, for all passages.
+2. The TF-IDF passages of the benchmark and of the whole corpus get a latent space by a randomised
+   SVD: products of the counted pairs with a random, then an orthogonal, narrow matrix are made
+   by Spark, a row of terms each, so that only matrices of fixed width come to the driver, and
+   of bounded height, since items are taken in blocks of at most MAX_TERMS terms.
 3. Each passage of each document is projected, two neighbouring blocks of words at a time, and
    compared by cosine with all items, in blocks of items.  Beside it, every run of words is
    looked up among the items' own, so that a literal passage needs no weight to be found.
@@ -38,6 +39,10 @@ RUN_WORDS = 8
 RUN_BITS = 24
 #: The latent space of a block of items has at most so many rows.
 MAX_TERMS = 1 << 15
+#: Pairs of terms that a task holds at once.
+MOST_PAIRS = 1 << 22
+#: A matrix of pairs that a task holds whole.
+MOST_CELLS = 1 << 24
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 BREAKS = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 
@@ -55,21 +60,143 @@ def _blocks(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return first[row] + (np.arange(len(row)) - words.first[row]) // size, first, row
 
 
-def term_counts(batches: Iterator[pa.RecordBatch], place: Broadcast, size: int) -> Iterator[pa.RecordBatch]:
-    """``(term, n)``: in how many blocks each benchmark term occurs; term 0 counts all blocks."""
+def _counted(rows: np.ndarray, values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """``(row, at, n)``: counts by row, whose numbers must ascend, as bytes."""
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    ends = np.append(first[1:], len(rows))
+    parts = [(int(rows[a]), values[a:b].astype("<i4").tobytes(), counts[a:b].astype("<i8").tobytes()) for a, b in zip(first.tolist(), ends.tolist())]
+    columns = list(zip(*parts)) if parts else [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["row", "at", "n"])
+
+
+class _Pairs:
+    """How often each two terms stand in one passage: the upper half of A'A for A's counts.
+
+    A matrix of MOST_CELLS at most is held whole; of a larger one pairs are counted MOST_PAIRS at a time.
+    """
+
+    def __init__(self, terms: int):
+        self.terms = terms
+        self.whole = np.zeros(terms * terms, np.uint32) if terms * terms <= MOST_CELLS else None
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, passage: np.ndarray, term: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Terms in the order of their passages' numbers."""
+        step = 0
+        while step < len(term):
+            same = np.flatnonzero(passage[step:] == passage[: len(passage) - step])
+            if not len(same):
+                break
+            one, other = term[same].astype(np.int64), term[same + step]
+            at = np.minimum(one, other) * self.terms + np.maximum(one, other)
+            for at in (at, at[one == other])[: 1 + (step > 0)]:  # both orders of a term with itself
+                if self.whole is not None:
+                    np.add.at(self.whole, at, np.uint32(1))
+                else:
+                    self.held.append(at)
+                self.size += len(at)
+            step += 1
+            if self.size > (MOST_PAIRS if self.whole is None else 1 << 31):
+                yield self.rows()
+
+    def rows(self) -> pa.RecordBatch:
+        """What was counted since the last call, of both orders the one by number."""
+        if self.whole is not None:
+            at = np.flatnonzero(self.whole)
+            n = self.whole[at]
+            self.whole[at] = 0
+        else:
+            at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *self.held]), return_counts=True)
+            self.held = []
+        self.size = 0
+        return _counted(at // self.terms, at % self.terms, n)
+
+
+def corpus_counts(batches: Iterator[pa.RecordBatch], place: Broadcast, size: int) -> Iterator[pa.RecordBatch]:
+    """``(row, at, n)``: pairs of benchmark terms in passages of two blocks, by the first's row, and in row -1 in how many
+    blocks each term occurs; term 0 counts all blocks, and in row 0 all passages."""
     at = place.value
-    count = np.zeros(int(at.max()) + 1, np.int64)
+    count, pairs, passages = np.zeros(int(at.max()) + 1, np.int64), _Pairs(int(at.max()) + 1), 0
     for batch in batches:
         for part in chunks(batch, "text"):
             words, terms = _words(part.column("text"))
             block, first, _ = _blocks(words, size)
             term = at[terms]
             used = term > 0
-            pairs = np.unique(block[used] * len(count) + term[used])
-            count += np.bincount(pairs % len(count), minlength=len(count))
+            both = np.unique(block[used] * len(count) + term[used])
+            count += np.bincount(both % len(count), minlength=len(count))
             count[0] += first[-1]
+            passage, first, _ = _blocks(words, 2 * size)
+            passages += int(first[-1])
+            yield from pairs.add(passage[used], term[used])
+    yield pairs.rows()
+    yield _counted(np.zeros(1, int), np.zeros(1, int), np.array([passages]))
     used = np.flatnonzero(count)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(count[used], pa.int64())], ["term", "n"])
+    yield _counted(np.full(len(used), -1), used, count[used])
+
+
+def _passage_pairs(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[pa.RecordBatch]:
+    """The same pairs of passages ``(terms array<long>)``."""
+    pairs = _Pairs(terms)
+    for batch in batches:
+        lists = batch.column("terms").to_pylist()
+        yield from pairs.add(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([t for x in lists for t in x], np.int64))
+    yield pairs.rows()
+
+
+def _summed(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[pa.RecordBatch]:
+    """One row for each number, from rows in the order of their numbers."""
+    last, total = None, np.zeros(terms, np.int64)
+
+    def made() -> pa.RecordBatch:
+        used = np.flatnonzero(total)
+        return _counted(np.full(len(used), last), used, total[used])
+
+    for batch in batches:
+        for row, at, n in zip(*(batch.column(c).to_pylist() for c in ("row", "at", "n"))):
+            if row != last and last is not None:
+                yield made()
+                total[:] = 0
+            last = row
+            total[np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8")
+    if last is not None:
+        yield made()
+
+
+COUNTS = "row int, at binary, n binary"
+
+
+def summed(counts: DataFrame, terms: int) -> DataFrame:
+    return counts.repartition("row").sortWithinPartitions("row").mapInArrow(lambda it: _summed(it, terms), COUNTS)
+
+
+def _weighed(batches: Iterator[pa.RecordBatch], matrix: Broadcast, weight: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Sums over this task's rows of the weighted pairs' product with a matrix, both orders of a pair."""
+    o, w = matrix.value, weight.value
+    total = np.zeros(o.shape)
+    for batch in batches:
+        for row, at, n, share in zip(*(batch.column(c).to_pylist() for c in ("row", "at", "n", "share"))):
+            at = np.frombuffer(at, "<i4")
+            value = share * w[row] * w[at] * np.frombuffer(n, "<i8")
+            total[row] += value @ o[at]
+            later = at > row
+            total[at[later]] += value[later, None] * o[row]
+    used = np.flatnonzero(total.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([total[i].tobytes() for i in used], pa.binary())], ["row", "part"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each number, from rows in the order of their numbers."""
+    last, total = None, 0
+    for batch in batches:
+        for row, part in zip(batch.column("row").to_pylist(), batch.column("part").to_pylist()):
+            if row != last and last is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["row", "part"])
+                total = 0
+            last, total = row, total + np.frombuffer(part)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["row", "part"])
 
 
 @dataclass
@@ -141,59 +268,43 @@ def bounded_items(items: Items, most: int = MAX_TERMS) -> Iterator[Items]:
         yield items.some(block)
 
 
-def _projected(rows: Iterator[pa.RecordBatch], omega: Broadcast, weight: Broadcast, back: bool) -> Iterator[pa.RecordBatch]:
-    """Partial sums of A'AO, or of (AO)'(AO) if not ``back``, over passages A."""
-    o, w = omega.value, weight.value
-    width = o.shape[1]
-    total = np.zeros((len(w) if back else width, width))
-    for batch in rows:
-        for terms in batch.column("terms").to_pylist():
-            at = np.array(terms, np.int64)
-            row = (w[at, None] * o[at]).sum(axis=0)
-            if back:
-                np.add.at(total, at, w[at, None] * row)
-            else:
-                total += np.outer(row, row)
-    used = np.flatnonzero(total.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([total[i].tobytes() for i in used], pa.binary())], ["row", "part"])
-
-
-def _summed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in rows:
-        for row, part in zip(batch.column("row").to_pylist(), batch.column("part").to_pylist()):
-            values = np.frombuffer(part)
-            total[row] = total[row] + values if row in total else values
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["row", "part"])
-
-
-def randomised_svd(spark: SparkSession, passages: DataFrame, weight: np.ndarray, rank: int, extra: int = 8, rounds: int = 2, seed: int = 7) -> np.ndarray:
-    """Right singular vectors, one column each, of the weighted passages ``(terms array<long>)``.
+def latent_space(spark: SparkSession, pairs: DataFrame, weight: np.ndarray, rank: int, extra: int = 8, rounds: int = 2, seed: int = 7) -> np.ndarray:
+    """Right singular vectors, one column each, of the weighted passages A whose pairs A'A are
+    ``(row, at, n, share)``, a row being the sum of its own, each times its share.
 
     Each round multiplies by A'A in Spark and makes the result orthogonal here; the last step
-    rotates it by the eigenvectors of the small matrix (AQ)'(AQ).
+    rotates it by the eigenvectors of the small matrix Q'(A'A)Q.
     """
-    shape = "row long, part binary"
     width = min(rank + extra, len(weight))
     q = np.random.default_rng(seed).standard_normal((len(weight), width))
     shared = spark.sparkContext.broadcast(weight)
 
-    def product(matrix: np.ndarray, back: bool) -> np.ndarray:
+    def product(matrix: np.ndarray) -> np.ndarray:
         given = spark.sparkContext.broadcast(matrix)
-        parts = passages.mapInArrow(lambda it: _projected(it, given, shared, back), shape)
-        rows = parts.repartition("row").mapInArrow(_summed, shape).toArrow()
-        out = np.zeros((len(weight) if back else width, width))
+        kind = "row int, part binary"
+        parts = pairs.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(lambda it: _weighed(it, given, shared), kind)
+        rows = parts.repartition("row").sortWithinPartitions("row").mapInArrow(_joined, kind).toArrow()
+        out = np.zeros((len(weight), width))
         for row, part in zip(rows.column("row").to_pylist(), rows.column("part").to_pylist()):
             out[row] = np.frombuffer(part)
         return out
 
     for _ in range(rounds):
-        q, _ = np.linalg.qr(product(q, True))
-    values, vectors = np.linalg.eigh(product(q, False))
+        q, _ = np.linalg.qr(product(q))
+    values, vectors = np.linalg.eigh(q.T @ product(q))
     order = np.argsort(-values)[:rank]
     return q @ vectors[:, order[values[order] > 1e-9 * max(values.max(), 1e-300)]]
 
 
+def randomised_svd(spark: SparkSession, passages: DataFrame, weight: np.ndarray, rank: int) -> np.ndarray:
+    """Right singular vectors, one column each, of the weighted passages ``(terms array<long>)``."""
+    return latent_space(spark, passage_pairs(spark, passages, len(weight)).withColumn("share", F.lit(1.0)), weight, rank)
+
+
+def passage_pairs(spark: SparkSession, passages: DataFrame, terms: int) -> DataFrame:
+    return Scratch(spark).save(summed(passages.mapInArrow(lambda it: _passage_pairs(it, terms), COUNTS), terms))
+
+
 def common_length(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, bit-parallel over a."""
     places: dict[int, int] = {}
@@ -343,7 +454,7 @@ def _find(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.R
 
 def find_leaks(
     spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int = 256, size: int = 16, cosine: float = 0.5,
-    whole: float = 0.8, asked: float = 0.55, weighed: float = 0.5, answered: float = 0.4, item_block: int = 20_000, sample_passages: int = 4096,
+    whole: float = 0.8, asked: float = 0.55, weighed: float = 0.5, answered: float = 0.4, item_block: int = 20_000, corpus_weight: int = 4096,
 ) -> DataFrame:
     """``(doc_id, item_id, share)``: items that documents contain, with the share of words found.
 
@@ -355,7 +466,8 @@ def find_leaks(
     terms of the item passage that has fewest, one at least, and its latent cosine is
     ``cosine`` or more, or if it shares eight words in a row with the item, or all of a
     shorter item, whatever they weigh.  The latent space is fitted on the benchmark and on
-    ``sample_passages`` passages of as many documents at most, those of least hashed doc_id.
+    all passages of the corpus's different texts, which count together as ``corpus_weight``
+    passages if they are more, so that the benchmark's own do not vanish among them.
     Items are searched for ``item_block`` at a time, and so that they have MAX_TERMS terms at
     most, which bounds what a task holds.  A share of just ``whole``, or of ``asked``,
     ``weighed`` and ``answered``, is a leak.  An empty table gives an empty result.
@@ -365,56 +477,39 @@ def find_leaks(
     bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bench = bench.distinct()
     blocks = -(-bench.count() // item_block)
-    found, sample = None, None
+    found = None
     for number in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).orderBy("item_id", "text").toArrow()
         for items in bounded_items(read_items(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), size)):
             if not len(items.owner):
                 continue
-            sample = _sample(docs, sample_passages, scratch) if sample is None else sample
-            one = _search_block(spark, docs, sample, items, rank, size, cosine=cosine, whole=whole, asked=asked, weighed=weighed, answered=answered)
+            one = _search_block(spark, docs, items, rank, size, corpus_weight, cosine=cosine, whole=whole, asked=asked, weighed=weighed, answered=answered)
             found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, share double")
     return scratch.save(found).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 
-def _sample(docs: DataFrame, passages: int, scratch: Scratch) -> DataFrame:
-    """``(doc_id, text)`` of ``passages`` documents at most, those of least hashed doc_id."""
-    some = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(passages)
-    return scratch.save(docs.join(F.broadcast(some), "doc_id", "left_semi"))
-
-
-def _sample_terms(batches: Iterator[pa.RecordBatch], place: Broadcast, size: int) -> Iterator[pa.RecordBatch]:
-    """Benchmark terms of one passage of each row, at a place that its doc_id decides."""
-    for batch in batches:
-        for part in chunks(batch, "text"):
-            words, terms = _words(part.column("text"))
-            out = []
-            for row, doc in enumerate(part.column("doc_id").to_pylist()):
-                at = words.span(row)
-                start = at.start + doc % max(1, at.stop - at.start - 2 * size + 1)
-                found = place.value[terms[start : min(at.stop, start + 2 * size)]]
-                out.append(found[found > 0].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["terms"])
-
-
-def _search_block(spark: SparkSession, docs: DataFrame, sample: DataFrame, items: Items, rank: int, size: int, **limits: float) -> DataFrame:
+def _search_block(spark: SparkSession, docs: DataFrame, items: Items, rank: int, size: int, corpus_weight: int, **limits: float) -> DataFrame:
     names = np.unique(np.concatenate(items.terms))
     place = np.zeros(1 << TERM_BITS, np.int32)
     place[names] = np.arange(1, len(names) + 1)
     shared = spark.sparkContext.broadcast(place)
-    rows = docs.select("text").distinct().mapInArrow(lambda it: term_counts(it, shared, size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    count = np.zeros(len(names) + 1)
-    count[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
+    height = len(names) + 1
+    counts = Scratch(spark).save(summed(docs.select("text").distinct().mapInArrow(lambda it: corpus_counts(it, shared, size), COUNTS), height))
+    count, passages_held = np.zeros(height), 0
+    for row in counts.where("row = -1").collect():
+        count[np.frombuffer(row["at"], "<i4")] = np.frombuffer(row["n"], "<i8")
+    for row in counts.where("row = 0").collect():  # no term has this number
+        passages_held += int(np.frombuffer(row["n"], "<i8").sum())
     total = count[0] + len(items.owner)
     weight = np.log((1 + total) / (1 + count))
     weight[0] = 0
     terms = [place[t].astype(np.int64) for t in items.terms]
-    passages = spark.createDataFrame([(t.tolist(),) for t in terms], "terms array<long>")
-    passages = passages.unionByName(sample.mapInArrow(lambda it: _sample_terms(it, shared, size), "terms array<long>").where(F.size("terms") > 0))
-    passages = passages.repartition(2 * spark.sparkContext.defaultParallelism)
-    v = randomised_svd(spark, passages, weight, rank)
+    own = passage_pairs(spark, spark.createDataFrame([(t.tolist(),) for t in terms], "terms array<long>"), height)
+    share = min(1.0, corpus_weight / max(1, passages_held))
+    pairs = counts.where("row > 0").withColumn("share", F.lit(share)).unionByName(own.withColumn("share", F.lit(1.0)))
+    v = latent_space(spark, pairs, weight, rank)
     latent = (weight[:, None] * v).astype(np.float32)
     vectors = np.stack([latent[t].sum(axis=0) for t in terms])
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)

@@ -448,3 +448,50 @@ def test_tokens_all_words_are_folded(spark, monkeypatch):
         text = (dict(rows)[r["doc_id"]] or "").encode()
         want = byte_bpe.merge_word(text, ranks) if len(text) > 40 or text in ranks else [7, 2 * len(text)] if text else []
         assert r["ids"] == want and r["intact"] == (len(text) > 40 or text in ranks or not text)
+
+
+def test_latent_space_is_of_all_passages(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 20 + i, 60)) for i in range(40)] + [(40, ""), (41, None)]
+    items = [(1, prose(rng, 50, 60)), (2, prose(rng, 9, 60))]
+    seen = []
+    real = decontaminate.latent_space
+
+    def kept(session, pairs, weight, rank):
+        dense = np.zeros((len(weight), len(weight)))
+        for r in pairs.collect():
+            dense[r["row"], np.frombuffer(r["at"], "<i4")] += r["share"] * np.frombuffer(r["n"], "<i8")
+        seen.append(np.triu(dense) + np.triu(dense, 1).T)
+        return real(session, pairs, weight, rank)
+
+    monkeypatch.setattr(decontaminate, "latent_space", kept)
+    decontaminate.find_leaks(spark, frame(spark, rows + [(99, rows[3][1])]), spark.createDataFrame(items, "item_id long, text string"), corpus_weight=7).collect()
+    table = decontaminate.read_items([i for i, _ in items], [t for _, t in items], 16)
+    names = {int(n): k + 1 for k, n in enumerate(np.unique(np.concatenate(table.terms)))}
+    corpus, own, passages = np.zeros_like(seen[0]), np.zeros_like(seen[0]), 0
+    for _, text in rows:
+        words = text.split() if text else []
+        term = [names.get(int(t), 0) for t in decontaminate._words(decontaminate.pa.array([" ".join(words)]))[1]]
+        for at in range(0, len(term), 32):
+            passages += 1
+            n = np.bincount([t for t in term[at : at + 32] if t], minlength=len(corpus))
+            corpus += np.outer(n, n)
+    for term in table.terms:
+        n = np.bincount([names[int(t)] for t in term], minlength=len(own))
+        own += np.outer(n, n)
+    assert passages > 40 and len(seen) == 1 and np.allclose(seen[0], own + corpus * 7 / passages)
+
+
+def test_pairs_held_whole_or_in_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    passage, term = np.sort(rng.integers(0, 40, 400)), rng.integers(1, 12, 400)
+    a = np.zeros((40, 12))
+    np.add.at(a, (passage, term), 1)
+    for cells, most in ((1 << 24, 1 << 22), (1, 50)):
+        monkeypatch.setattr(decontaminate, "MOST_CELLS", cells)
+        monkeypatch.setattr(decontaminate, "MOST_PAIRS", most)
+        pairs, found = decontaminate._Pairs(12), np.zeros((12, 12))
+        for part in [*pairs.add(passage, term), pairs.rows()]:
+            for row, at, n in zip(*(part.column(c).to_pylist() for c in ("row", "at", "n"))):
+                found[row, np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8")
+        assert (found == np.triu(a.T @ a)).all()
