@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .text import Words, chunks, split_words, window_hashes
+from .text import Words, chunks, split_words, trim, window_hashes
 
 TERM_BITS = 20
 RUN_WORDS = 8
@@ -98,24 +98,27 @@ class _Pairs:
                 self.size += len(at)
             step += 1
             if self.size > (MOST_PAIRS if self.whole is None else 1 << 31):
-                yield self.rows()
+                yield from self.rows()
 
-    def rows(self) -> pa.RecordBatch:
+    def rows(self, step: int = 256) -> Iterator[pa.RecordBatch]:
         """What was counted since the last call, of both orders the one by number."""
         if self.whole is not None:
-            at = np.flatnonzero(self.whole)
-            n = self.whole[at]
-            self.whole[at] = 0
+            for first in range(0, self.terms, step):
+                part = self.whole[first * self.terms : (first + step) * self.terms]
+                at = np.flatnonzero(part)
+                yield _counted(first + at // self.terms, at % self.terms, part[at])
+                part[at] = 0
         else:
             at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *self.held]), return_counts=True)
             self.held = []
+            yield _counted(at // self.terms, at % self.terms, n)
         self.size = 0
-        return _counted(at // self.terms, at % self.terms, n)
 
 
 def corpus_counts(batches: Iterator[pa.RecordBatch], place: Broadcast, size: int) -> Iterator[pa.RecordBatch]:
     """``(row, at, n)``: pairs of benchmark terms in passages of two blocks, by the first's row, and in row -1 in how many
     blocks each term occurs; term 0 counts all blocks, and in row 0 all passages."""
+    trim()
     at = place.value
     count, pairs, passages = np.zeros(int(at.max()) + 1, np.int64), _Pairs(int(at.max()) + 1), 0
     for batch in batches:
@@ -130,10 +133,12 @@ def corpus_counts(batches: Iterator[pa.RecordBatch], place: Broadcast, size: int
             passage, first, _ = _blocks(words, 2 * size)
             passages += int(first[-1])
             yield from pairs.add(passage[used], term[used])
-    yield pairs.rows()
+    yield from pairs.rows()
+    del pairs
     yield _counted(np.zeros(1, int), np.zeros(1, int), np.array([passages]))
     used = np.flatnonzero(count)
     yield _counted(np.full(len(used), -1), used, count[used])
+    trim()
 
 
 def _passage_pairs(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[pa.RecordBatch]:
@@ -142,7 +147,9 @@ def _passage_pairs(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[pa
     for batch in batches:
         lists = batch.column("terms").to_pylist()
         yield from pairs.add(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([t for x in lists for t in x], np.int64))
-    yield pairs.rows()
+    yield from pairs.rows()
+    del pairs
+    trim()
 
 
 def _summed(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[pa.RecordBatch]:
@@ -184,6 +191,8 @@ def _weighed(batches: Iterator[pa.RecordBatch], matrix: Broadcast, weight: Broad
             total[at[later]] += value[later, None] * o[row]
     used = np.flatnonzero(total.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([total[i].tobytes() for i in used], pa.binary())], ["row", "part"])
+    del total
+    trim()
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,6 +438,7 @@ def verdict(search: Search, item: int, region: list[int]) -> float:
 
 
 def _find(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    trim()
     search: Search = shared.value
     for batch in batches:
         for part in chunks(batch, "text"):
@@ -450,6 +460,7 @@ def _find(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.R
                 [pa.array([ids[r] for r, _ in found], pa.int64()), pa.array([search.items.ids[i] for _, i in found], pa.int64()), pa.array([best[x] for x in found], pa.float64())],
                 ["doc_id", "item_id", "share"],
             )
+    trim()
 
 
 def find_leaks(

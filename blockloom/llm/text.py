@@ -7,6 +7,8 @@ depend on how many words or windows are asked for.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +40,13 @@ _LOWERED = _VALUES.copy()
 _LOWERED[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
 
 
+def trim() -> None:
+    """Gives freed memory back: an idle Python worker would keep it beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloctrim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2**64."""
     global _powers

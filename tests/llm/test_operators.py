@@ -491,7 +491,7 @@ def test_pairs_held_whole_or_in_parts(monkeypatch):
         monkeypatch.setattr(decontaminate, "MOST_CELLS", cells)
         monkeypatch.setattr(decontaminate, "MOST_PAIRS", most)
         pairs, found = decontaminate._Pairs(12), np.zeros((12, 12))
-        for part in [*pairs.add(passage, term), pairs.rows()]:
+        for part in [*pairs.add(passage, term), *pairs.rows()]:
             for row, at, n in zip(*(part.column(c).to_pylist() for c in ("row", "at", "n"))):
                 found[row, np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8")
         assert (found == np.triu(a.T @ a)).all()
