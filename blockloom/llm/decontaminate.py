@@ -37,6 +37,8 @@ from .text import Words, chunks, split_words, trim, window_hashes
 TERM_BITS = 20
 RUN_WORDS = 8
 RUN_BITS = 24
+#: Terms of a run of words are marked in so many bits.
+MARK_BITS = 4096
 #: The latent space of a block of items has at most so many rows.
 MAX_TERMS = 1 << 15
 #: Pairs of terms that a task holds at once.
@@ -357,17 +359,68 @@ class Search:
             may = np.zeros(1 << RUN_BITS, bool)
             may[run & np.uint64((1 << RUN_BITS) - 1)] = True
             self.runs.append((width, run[order], owner[order], may))
+        self.lengths = np.array([len(w) for w in self.items.words], np.int64)
+        owner = np.repeat(np.arange(len(self.lengths)), [len(t) for t in self.items.named])
+        self.marks = term_marks(owner, self.place[np.concatenate([np.zeros(0, np.int64), *self.items.named])], len(self.lengths))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("heavy", "counts", "runs", "weights")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("heavy", "counts", "runs", "weights", "lengths", "marks")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.__post_init__()
 
 
+def term_marks(run: np.ndarray, term: np.ndarray, runs: int) -> np.ndarray:
+    """A row of bits for each run, with the bit of each of its terms set; term 0 has none."""
+    out = np.zeros(runs * (MARK_BITS >> 6), np.uint64)
+    used = term > 0
+    bit = term[used].astype(np.int64) % MARK_BITS
+    np.bitwise_or.at(out, run[used] * (MARK_BITS >> 6) + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out.reshape(runs, MARK_BITS >> 6)
+
+
+def may_hold(search: Search, tables: list[np.ndarray], low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Whether blocks from low up to high can hold as much of an item as :func:`verdict` asks for first.
+
+    Each bit that an item has and the blocks lack is a word at least that they lack.  ``tables``
+    has the marks of each block, then of each two blocks in a row, each four and so on.
+    """
+    level = np.frexp((high - low).astype(float))[1] - 1
+    while len(tables) <= level.max(initial=0):
+        last, width = tables[-1], 1 << len(tables) - 1
+        tables.append(last.copy())
+        tables[-1][:-width] |= last[width:]
+    lacks = np.zeros(len(low), np.int64)
+    for k in np.unique(level).tolist():
+        at = np.flatnonzero(level == k)
+        held = tables[k][low[at]] | tables[k][high[at] - (1 << k)]
+        lacks[at] = np.bitwise_count(search.marks[item[at]] & ~held).sum(axis=1)
+    n = search.lengths[item]
+    return n - lacks >= min(search.asked, search.whole) * n
+
+
+def latent_sums(latent: np.ndarray, term: np.ndarray, at: np.ndarray, count: np.ndarray, step: int = 256) -> np.ndarray:
+    """Sums of the latent rows of runs of terms that start at ``at``, as many as ``count``.
+
+    Runs go by falling length, a few at a time: those that have a k-th term stand in front.
+    """
+    out = np.empty((len(at), latent.shape[1]), latent.dtype)
+    order = np.argsort(-count, kind="stable")
+    for low in range(0, len(at), step):
+        some = order[low : low + step]
+        start, size = at[some], count[some]
+        total = latent[term[start]]
+        for k in range(1, int(size[0])):
+            n = int(np.searchsorted(-size, -k))
+            total[:n] += latent[term[start[:n] + k]]
+        out[some] = total
+    return out
+
+
 def candidates(search: Search, words: Words, terms: np.ndarray, step: int = 8192) -> Iterator[tuple[int, int, int]]:
-    """``(row, first word, item)`` of document passages near a passage of an item."""
+    """``(row, first word, item)`` of document passages near a passage of an item, without those
+    whose surroundings lack too many of its words."""
     block, first, row = _blocks(words, search.size)
     term = search.place[terms]
     used = np.flatnonzero(term > 0)
@@ -382,23 +435,25 @@ def candidates(search: Search, words: Words, terms: np.ndarray, step: int = 8192
     enough = np.flatnonzero(both >= search.least)
     if not len(enough):
         return
-    # The words of a block stand in a row: the k-th of all blocks are added at once, then two blocks.
-    sums = search.latent[term[used[at]]]
-    for k in range(1, int(count.max())):
-        more = np.flatnonzero(count > k)
-        sums[more] += search.latent[term[used[at[more] + k]]]
+    sums = latent_sums(search.latent, term[used], at, count)
     pairs = sums[enough]
     second = np.flatnonzero(joined[enough])
     pairs[second] += sums[enough[second] + 1]
     ids, rows = ids[enough], rows[enough]
     norm = np.linalg.norm(pairs, axis=1)
     pairs /= np.maximum(norm, 1e-12)[:, None]
+    tables = [term_marks(block, term, int(first[-1]))]
+    reach, items = -(-search.lengths // search.size), len(search.lengths)
     for start in range(0, len(pairs), step):
-        near = pairs[start : start + step] @ search.vectors.T
-        for p, v in zip(*np.nonzero(near >= search.cosine)):
-            p += start
-            r = int(rows[p])
-            yield r, int(words.first[r] + (ids[p] - first[r]) * search.size), int(search.items.owner[v])
+        near = np.flatnonzero((pairs[start : start + step] @ search.vectors.T).reshape(-1) >= search.cosine)
+        near = np.unique(near // len(search.vectors) * items + search.items.owner[near % len(search.vectors)])
+        for part in range(0, len(near), step):
+            p, item = near[part : part + step] // items + start, near[part : part + step] % items
+            r = rows[p]
+            low, high = np.maximum(first[r], ids[p] - reach[item]), np.minimum(first[r + 1], ids[p] + 2 + reach[item])
+            may = may_hold(search, tables, low, high, item)
+            p, r, item = p[may], r[may], item[may]
+            yield from zip(r.tolist(), (words.first[r] + (ids[p] - first[r]) * search.size).tolist(), item.tolist())
 
 
 def literal_candidates(search: Search, words: Words) -> Iterator[tuple[int, int, int]]:

@@ -102,3 +102,38 @@ def test_items_are_taken_in_bounded_blocks():
     for b in blocks:
         assert len(np.unique(np.concatenate([x for x in b.named]))) <= 100 or len(b.ids) == 1
         assert all(b.owner[k] < len(b.ids) for k in range(len(b.owner))) and len(b.terms) == len(b.owner)
+
+
+def test_candidates_are_those_whose_surroundings_may_hold_the_item():
+    """At any cosine: nothing that the verdict takes is left out, and little else comes."""
+    rng = random.Random(5)
+    size, texts = 16, [sentences(rng) for _ in range(30)] + [sentences(rng, 40)]
+    rows = [prose(rng, 90) + " " + changed(rng, t, KINDS[k % 5]) + " " + prose(rng, 40) for k, t in enumerate(texts)] + ["", prose(rng, 900)]
+    items = decontaminate.read_items(list(range(len(texts))), texts, size)
+    names = np.unique(np.concatenate(items.terms))
+    place = np.zeros(1 << decontaminate.TERM_BITS, np.int32)
+    place[names] = np.arange(1, len(names) + 1)
+    latent = np.random.default_rng(3).standard_normal((len(names) + 1, 8)).astype(np.float32)
+    vectors = np.ones((len(items.owner), 8), np.float32)
+    search = decontaminate.Search(place, latent, vectors, items, np.ones(len(names) + 1, np.float32), size, -100.0, 0.8, 0.55, 0.5, 0.4, 1)
+    words, terms = decontaminate._words(pa.array(rows))
+    got, want, windows = set(decontaminate.candidates(search, words, terms)), set(), 0
+    for row in range(len(rows)):
+        span = words.span(row)
+        for start in range(span.start, span.stop, size):
+            if (place[terms[start : min(start + size, span.stop)]] > 0).any():
+                windows += 1
+                for i, own in enumerate(items.words):
+                    region = words.hashes[max(span.start, start - len(own)) : min(span.stop, start + 2 * size + len(own))].tolist()
+                    if decontaminate.verdict(search, i, region) > 0:
+                        want.add((row, start, i))
+    assert want <= got and len(want) > 100
+    assert len(got) < 0.2 * windows * len(texts)
+
+
+def test_sums_of_latent_rows_are_those_of_each_run():
+    rng = np.random.default_rng(4)
+    latent, count = rng.integers(-9, 9, (50, 6)).astype(np.float32), rng.integers(1, 17, 700)
+    term, at = rng.integers(0, 50, int(count.sum())), np.cumsum(count) - count
+    want = [latent[term[a : a + n]].sum(axis=0) for a, n in zip(at, count)]
+    assert np.array_equal(decontaminate.latent_sums(latent, term, at, count), want)
