@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .idfilter import BITS, bit_of, id_bitmap, passing
 from .scratch import Scratch
-from .text import chunks, list_array, mix, signed, split_words, window_hashes
+from .text import chunks, list_array, mix, signed, split_words, trim, window_hashes
 
 CROWD = 8
 SCAN = "doc_id long, n_shingles long, h1 long, h2 long, tokens array<long>"
@@ -78,6 +78,7 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterat
                 [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(signed(h1)), pa.array(signed(h2)), list_array(tokens, pa.int64())],
                 ["doc_id", "n_shingles", "h1", "h2", "tokens"],
             )
+    trim()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -85,6 +86,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, bitmap: np.ndarray) ->
         for part in chunks(passing(batch, bitmap), "text"):
             sets = [signed(s).tobytes() for s in shingle_sets(part.column("text"), width)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+    trim()
 
 
 def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:

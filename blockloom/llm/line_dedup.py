@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .idfilter import bit_of, hash_bitmap, holds, id_bitmap, passing
 from .scratch import Scratch, free_name
-from .text import Words, chunks, mix, powers, signed, split_words
+from .text import Words, chunks, mix, powers, signed, split_words, trim
 
 KEY_BITS = 26
 QUARTERS = 4
@@ -96,6 +96,7 @@ def line_table(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[
                 ],
                 ["doc_id", "line", "whole", "keys"],
             )
+    trim()
 
 
 def variants(batches: Iterator[pa.RecordBatch], least_words: int, shared: Broadcast, bits: int) -> Iterator[pa.RecordBatch]:
@@ -129,6 +130,7 @@ def variants(batches: Iterator[pa.RecordBatch], least_words: int, shared: Broadc
                 [pa.array(signed(key)), pa.array(exact), pa.array(signed(whole[at])), pa.array(ids[row[at]].astype(np.int64)), pa.array(number[at].astype(np.int32))],
                 ["key", "exact", "whole", "doc_id", "line"],
             )
+    trim()
 
 
 def _texts(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -145,6 +147,7 @@ def _texts(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.
                 ],
                 ["doc_id", "line", "text"],
             )
+    trim()
 
 
 def within_one(a: list, b: list) -> bool:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blockloom.llm import byte_bpe, decontaminate, html_text, jaccard_join, line_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter
+from blockloom.llm import byte_bpe, decontaminate, html_text, jaccard_join, line_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup, text, url_filter
 from blockloom.llm.graph import components
 from blockloom.llm.idfilter import drop_ids
 from blockloom.llm.registry import QUERIES
@@ -495,3 +495,13 @@ def test_pairs_held_whole_or_in_parts(monkeypatch):
             for row, at, n in zip(*(part.column(c).to_pylist() for c in ("row", "at", "n"))):
                 found[row, np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8")
         assert (found == np.triu(a.T @ a)).all()
+
+
+def test_trim_gives_freed_memory_back():
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    pieces = [b"x" * 50_000 for _ in range(4000)]
+    pinned = [b"x" * 50_000 for _ in range(4)]  # behind the others, so that the heap does not shrink by itself
+    held = resident()
+    del pieces
+    text.trim()
+    assert len(pinned) == 4 and resident() < held - 150_000_000
