@@ -286,3 +286,22 @@ def test_trials():
     assert codecs.candidates(long, "csv", [b"a"], 4.0)[-1] == "xwrt_bwt_mtf_rle"
     name, made = codecs.trial(b"abc " * 400, ["raw", "bwt_mtf_rle"], [])
     assert name == "bwt_mtf_rle" and codecs.PIPELINES[name][1](made, []) == b"abc " * 400
+
+
+def test_byte_models_keep_rows_for_seen_contexts_only():
+    rng = np.random.default_rng(6)
+    blocks = [bytes(rng.integers(97, 105, n).astype(np.uint8)) for n in (0, 1, 900, 40, 2500, 900)]
+    sizes = np.array(sorted(map(len, blocks), reverse=True))
+    assert len(models.ByteModel(sizes, True).count) <= 1 + 4 * sizes.sum() < 256 * sum(1 for b in blocks) * 12
+    for deep in (False, True):
+        streams = models.bytes_encode(blocks, deep)
+        assert streams == [models.bytes_encode([b], deep)[0] for b in blocks]  # lanes do not depend on each other
+        assert models.bytes_decode(streams, [len(b) for b in blocks], deep) == blocks
+
+
+def test_sizes_of_side_streams():
+    rng = random.Random(8)
+    parts = [b"", b"a", b"ab" * 40, bytes(5000), bytes(rng.randrange(256) for _ in range(700))]
+    parts += [bytes(min(255, int(rng.expovariate(0.1))) for _ in range(n)) for n in (31, 32, 33, 64, 1000, 4097)]
+    assert coding.side_sizes(parts, most=3000) == coding.side_sizes(parts) == [len(coding.side_encode(p)) for p in parts]
+    assert coding.side_sizes([]) == []
