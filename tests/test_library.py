@@ -142,6 +142,16 @@ def test_trials_choose_the_smallest(spark):
     assert set(best) == {1, 2} and best[2]["pipeline"] == "raw" and best[1]["size"] == min(sizes) and len(sizes) == 4
 
 
+def test_trials_are_dealt_to_all_cores_and_small_members_go_on_together(spark):
+    rows = spark.range(0, 500, 1, 1).select(F.col("id").alias("member_id"), F.encode(F.repeat(F.lit("word "), 10), "UTF-8").alias("content"))
+    blocks = block_ops.cut(rows)
+    sizes = blocks.mapInArrow(lambda it: (b.select(["member_id"]).slice(0, 1) for b in it), "member_id long").count()
+    assert blocks.count() == 500 and sizes < 5
+    table = archive.trials(blocks, [], 256, 256)
+    parts = {r["p"]: r["n"] for r in table.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
+    assert len(parts) > 1 and sum(parts.values()) == 500
+
+
 def test_levels_and_methods(spark):
     assert [levels.parse_level(x) for x in (1, -3, 9, -19)] == [1, 3, 9, 19]
     assert levels.resolve_mode() == "hybrid" and levels.resolve_mode(-1) == "wire" and levels.resolve_mode(None, "fast") == "fast" and levels.resolve_mode(19, "slow") == "slow"
