@@ -505,3 +505,19 @@ def test_trim_gives_freed_memory_back():
     del pieces
     text.trim()
     assert len(pinned) == 4 and resident() < held - 150_000_000
+
+
+def test_driver_holds_no_large_buffers(spark, monkeypatch, tmp_path):
+    """Broadcasts in small pieces, saved tables without a mark, and the plan with all ranks described once."""
+    import public_tokenizers
+
+    seen, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, *a: (seen.append(spark.conf.get("spark.sql.adaptive.enabled")), save(self, *a))[1])
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    (row,) = byte_bpe.encode(spark, frame(spark, [(1, "unheardofword " * 3)]), path, public_tokenizers.PATTERN).collect()
+    assert row["intact"] and seen == ["true", "false"] and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().conf().get("spark.broadcast.blockSize") == "256k"
+    scratch = Scratch(spark)
+    table = scratch.save(spark.range(3))
+    folder = spark._jvm.java.io.File(table.scratch_path.removeprefix("file:"))
+    assert table.count() == 3 and not any(name == "_SUCCESS" for name in folder.list())
