@@ -1,4 +1,4 @@
-"""Removal of passages that occurred before, by counted Rabin-Karp window hashes.
+"""Removal of passages that occurred before, by Rabin-Karp window hashes.
 
 A window is ``width`` consecutive words of one document.  Every word is removed that lies in a
 window whose word sequence also starts earlier: in a document of smaller doc_id, or earlier in
@@ -7,8 +7,10 @@ the same one.
 Each window hashes in constant time from a running sum.  So that windows seen once never
 reach a shuffle, each window names an anchor, the least hash among the ``width / 2``-word
 grams inside it: equal windows have equal anchors, and neighbours mostly share theirs.  Spark
-first counts anchors; only windows whose anchor repeats are then hashed, counted and compared
-with their first place.  Overlapping removed windows merge into maximal intervals.
+first counts anchors; only windows whose anchor repeats are then hashed and compared with
+their first place, in one shuffle.  What a task can tell alone, that a window came before in
+the rows it holds, goes along as runs of windows, so that of the places of a window that many
+documents share each task sends one.  Overlapping removed windows merge into maximal intervals.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .idfilter import bit_of, hash_bitmap, holds, id_bitmap
@@ -27,6 +29,8 @@ from .scratch import Scratch
 from .text import chunks, mix, signed, split_words, window_hashes
 
 ANCHOR_BITS = 26
+#: A task compares so many windows among themselves.
+HELD = 1 << 19
 CHECK = np.uint64(0xA0761D6478BD642F)
 
 
@@ -62,13 +66,14 @@ def anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(signed(least[new]))], ["anchor"])
 
 
-def repeated_windows(batches: Iterator[pa.RecordBatch], width: int, bitmap: Broadcast, bits: int) -> Iterator[pa.RecordBatch]:
-    """Hash, check, document and start of each window whose anchor may repeat; a window that came
-    before in the same row has ``-1 - start`` instead.
+def repeated_windows(batches: Iterator[pa.RecordBatch], width: int, bitmap: Broadcast, bits: int, held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Hash, check, document and start of each window whose anchor may repeat, ``held`` and more at a time through :func:`_settle`.
 
     The check is 32 bits of a second sum over other values of the same words, so that windows
     compare by 96 bits.
     """
+    parts: list[tuple[np.ndarray, ...]] = []
+    before = n = 0
     for batch in batches:
         for part in chunks(batch, "text"):
             found = _windows(part.column("text"), width)
@@ -80,15 +85,40 @@ def repeated_windows(batches: Iterator[pa.RecordBatch], width: int, bitmap: Broa
             ids = part.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             hashes = window_hashes(words.hashes, width)[start]
             check = window_hashes(mix(words.hashes ^ CHECK), width)[start].astype(np.uint32).view(np.int32)
-            place = (start - words.first[row]).astype(np.int32)
-            here = hashes ^ mix(row.astype(np.uint64) + np.uint64(1))
-            order = np.argsort(here, kind="stable")
-            again = order[1:][(here[order[1:]] == here[order[:-1]]) & (check[order[1:]] == check[order[:-1]])]
-            place[again] = -1 - place[again]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(hashes)), pa.array(check), pa.array(ids[row].astype(np.int64)), pa.array(place)],
-                ["window", "check", "doc_id", "start"],
-            )
+            parts.append((hashes, check, ids[row].astype(np.int64), (start - words.first[row]).astype(np.int32), (row + before).astype(np.int32)))
+            before, n = before + part.num_rows, n + len(start)
+            if n >= held:
+                yield _settle(parts)
+                parts, n = [], 0
+    if n:
+        yield _settle(parts)
+
+
+def _settle(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Places ``(window, check, doc_id, start)`` that are the first of their window among these, or as early; the others
+    are known to be later and come as runs: ``-1 - start`` of the first, how many for a check, and for a window a hash of the
+    place, which deals them evenly.
+    """
+    hashes, check, ids, place, row = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(hashes, kind="stable")  # equal windows stay in the order of rows and starts
+    same = (hashes[order[1:]] == hashes[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
+    group = np.flatnonzero(np.r_[True, ~same])
+    doc = ids[order]
+    known = np.empty(len(order), bool)
+    known[order] = doc > np.repeat(np.minimum.reduceat(doc, group), np.diff(np.r_[group, len(order)]))
+    known[order[1:]] |= same & (row[order[1:]] == row[order[:-1]])
+    first, later = np.flatnonzero(~known), np.flatnonzero(known)
+    new = np.ones(len(later), bool)
+    new[1:] = (row[later[1:]] != row[later[:-1]]) | (place[later[1:]] != place[later[:-1]] + 1)
+    run, size = later[new], np.diff(np.r_[np.flatnonzero(new), len(later)]).astype(np.int32)
+    even = mix(mix(ids[run]) + place[run].astype(np.uint64))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(signed(np.r_[hashes[first], even])), pa.array(np.r_[check[first], size]),
+            pa.array(np.r_[ids[first], ids[run]]), pa.array(np.r_[place[first], -1 - place[run]]),
+        ],
+        ["window", "check", "doc_id", "start"],
+    )
 
 
 def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -99,16 +129,21 @@ def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + width).tolist()))
 
 
+def _starts(runs: list[int]) -> np.ndarray:
+    """The sorted starts of all windows of runs."""
+    return np.sort(np.concatenate([np.arange(x >> 32, (x >> 32) + (x & 0xFFFFFFFF)) for x in runs])) if runs else np.zeros(0, np.int64)
+
+
 def _cut(batches: Iterator[pa.RecordBatch], width: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
-    """Rows ``(doc_id, text, starts)`` without the windows at starts; without that column, whole."""
+    """Rows ``(doc_id, text, runs)`` without the windows of the runs, each ``start << 32 | number``; without that column, whole."""
     for batch in batches:
         for part in chunks(batch, "text"):
             out: list[list] = [[] for _ in range(4)]
             texts = part.column("text").to_pylist()
-            lists = part.column("starts").to_pylist() if "starts" in part.schema.names else [None] * len(texts)
-            for text, starts in zip(texts, lists):
+            lists = part.column("runs").to_pylist() if "runs" in part.schema.names else [None] * len(texts)
+            for text, runs in zip(texts, lists):
                 words = (text or "").encode().split()
-                n, spans = len(words), intervals(np.array(sorted(starts or ())), width)
+                n, spans = len(words), intervals(_starts(runs or []), width)
                 kept, at = [], 0
                 for a, b in spans:
                     kept += words[at:a]
@@ -150,18 +185,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, keep_t
     )
     marked = hash_bitmap(spark, twice, "anchor", anchor_bits)
     windows = named.mapInArrow(lambda it: repeated_windows(it, width, marked, anchor_bits), "window long, check int, doc_id long, start int")
-    same = ["window", "check"]
-    counted = windows.where("start >= 0").groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    first = scratch.save(counted.drop("last"))  # written, so that the places of a window that many documents share can be split in the join
-    later = windows.join(first, same, "left").where("start < 0 or doc_id > first").select("doc_id", F.expr("if(start < 0, -1 - start, start)").alias("start"))
-    starts = scratch.save(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
-    scratch.drop(first)
-
-    touched = id_bitmap(spark, starts, "doc_id")
+    # Each task sends a window's first place only, so one sort can take all of a window's rows.
+    first = F.min(F.expr("if(start < 0, null, doc_id)")).over(Window.partitionBy("window", "check"))
+    later = windows.withColumn("first", first).where("start < 0 or doc_id > first")
+    run = F.expr("if(start < 0, shiftleft(-1L - start, 32) + check, shiftleft(cast(start as long), 32) + 1L)")
+    runs = scratch.save(later.select("doc_id", run.alias("run")).groupBy("doc_id").agg(F.collect_list("run").alias("runs")))
+
+    touched = id_bitmap(spark, runs, "doc_id")
     ready = docs.withColumn("bit", bit_of("doc_id"))
     result = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>"
     whole = ready.mapInArrow(lambda it: _cut(_split(it, touched, False), width, keep_text), result)  # one worker a task for both steps
-    cut = ready.mapInArrow(lambda it: _split(it, touched, True), "doc_id long, text string").join(starts, "doc_id", "left")
+    cut = ready.mapInArrow(lambda it: _split(it, touched, True), "doc_id long, text string").join(runs, "doc_id", "left")
     return whole.unionByName(cut.mapInArrow(lambda it: _cut(it, width, keep_text), result))
 
 

@@ -4,8 +4,10 @@ import collections
 import hashlib
 import random
 import re
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +124,71 @@ def test_substrings(spark, texts):
         assert sum(x["end"] - x["start"] for x in r["removed"]) == r["n_removed"]
 
 
+def shuffled_rows(spark, action):
+    """How many rows the stages of an action write for shuffles."""
+    context, gate = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return list(gate.jvm.scala.jdk.javaapi.CollectionConverters.asJava(context.statusStore().stageList(None, False, False, gate.new_array(gate.jvm.double, 0), gate.jvm.java.util.ArrayList())))
+
+    last = max((x.stageId() for x in stages()), default=-1)
+    action()
+    return sum(x.shuffleWriteRecords() for x in stages() if x.stageId() > last)
+
+
+def test_substrings_shuffle_first_places_once(spark, tmp_path):
+    rng = random.Random(9)
+    passages = [prose(rng, 60, 10**6) for _ in range(20)]
+    rows = [(k, prose(rng, 20, 10**6) + " " + passages[k % 20]) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    got, small = [], "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(small, "-1")  # as with tables too large for it
+    try:
+        shuffled = shuffled_rows(spark, lambda: got.extend(substring_dedup.remove_repeats(spark, spark.read.parquet(f"{tmp_path}/docs"), 20).collect()))
+    finally:
+        spark.conf.unset(small)
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {k: 60 * (k >= 20) for k in range(400)}
+    places = 400 * 41  # of windows that are found more than once
+    assert 0 < shuffled < places
+
+
+@pytest.mark.parametrize("held", [1, 300, 1 << 19])
+def test_substrings_known_in_a_task(texts, held):
+    rows = [x for k in range(3) for x in texts[k::3]]  # neither in the order of doc_id nor apart
+    rng = random.Random(4)
+    loop = prose(rng, 30)
+    rows += [(900, f"{loop} {loop} {loop}"), (650, loop), (650, f"{loop} x {loop}"), (899, loop)]
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": i, "text": t or ""} for i, t in rows[k : k + 50]]) for k in range(0, len(rows), 50)]
+    every = types.SimpleNamespace(value=np.full(1, 255, np.uint8))
+    out = [r for b in substring_dedup.repeated_windows(iter(batches), 20, every, 3, held) for r in b.to_pylist()]
+    least, got = {}, set()
+    for r in out:
+        if r["start"] >= 0:
+            key = r["window"], r["check"]
+            least[key] = min(r["doc_id"], least.get(key, r["doc_id"]))
+    for r in out:
+        if r["start"] < 0:
+            got |= {(r["doc_id"], -1 - r["start"] + k) for k in range(r["check"])}
+        elif r["doc_id"] > least[r["window"], r["check"]]:
+            got.add((r["doc_id"], r["start"]))
+    first, want = {}, set()
+    for i, t in rows:
+        words = re.findall(SPACE, t or "")
+        for k in range(len(words) - 19):
+            first[tuple(words[k : k + 20])] = min(i, first.get(tuple(words[k : k + 20]), i))
+    for i, t in rows:
+        words, here = re.findall(SPACE, t or ""), set()
+        for k in range(len(words) - 19):
+            window = tuple(words[k : k + 20])
+            if first[window] < i or window in here:
+                want.add((i, k))
+            here.add(window)
+    assert got == want
+    if held > 300:
+        assert len({(r["window"], r["check"]) for r in out if r["start"] >= 0}) == len(first)
+
+
 def test_lines(spark):
     rng = random.Random(3)
     base = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(7, 11))) for _ in range(30)]
