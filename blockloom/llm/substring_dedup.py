@@ -28,7 +28,8 @@ from .idfilter import bit_of, hash_bitmap, holds, id_bitmap
 from .scratch import Scratch
 from .text import chunks, mix, signed, split_words, window_hashes
 
-ANCHOR_BITS = 26
+#: The bitmap of anchors has four bits for each that repeats, within these bounds: 8 to 64 MB.
+ANCHOR_BITS = 26, 29
 #: A task compares so many windows among themselves.
 HELD = 1 << 19
 CHECK = np.uint64(0xA0761D6478BD642F)
@@ -167,24 +168,32 @@ def _split(batches: Iterator[pa.RecordBatch], bitmap: Broadcast, inside: bool) -
         yield batch.filter(pa.array(may == inside)).select(["doc_id", "text"])
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, keep_text: bool = True, anchor_bits: int = ANCHOR_BITS) -> DataFrame:
+def bitmap_bits(n: int) -> int:
+    """The logarithm of the size of a bitmap for n anchors."""
+    return min(max((4 * n).bit_length(), ANCHOR_BITS[0]), ANCHOR_BITS[1])
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, keep_text: bool = True, anchor_bits: int | None = None) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept, removed)`` of every row of docs.
 
     docs needs doc_id and text; other columns are ignored.  ``kept`` is the remaining words
     joined by one space, or its SHA-256 if ``keep_text`` is false; ``removed`` lists maximal
     word intervals, end exclusive.  A null text counts as empty.  Rows of null doc_id stay
     whole.  Rows that repeat a doc_id are equally early: none takes a window from the other.  An
-    empty table gives an empty result.
+    empty table gives an empty result.  ``anchor_bits`` sets the bitmap's size in place of
+    :func:`bitmap_bits`; it changes what is shuffled and no result.
     """
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     named = docs.where("doc_id is not null")
-    twice = (
+    twice = scratch.save(
         named.select("text").mapInArrow(lambda it: anchors(it, width), "anchor long")
-        .groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+        .groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     )
-    marked = hash_bitmap(spark, twice, "anchor", anchor_bits)
-    windows = named.mapInArrow(lambda it: repeated_windows(it, width, marked, anchor_bits), "window long, check int, doc_id long, start int")
+    bits = anchor_bits or bitmap_bits(twice.count())
+    marked = hash_bitmap(spark, twice, "anchor", bits)
+    scratch.drop(twice)
+    windows = named.mapInArrow(lambda it: repeated_windows(it, width, marked, bits), "window long, check int, doc_id long, start int")
     # Each task sends a window's first place only, so one sort can take all of a window's rows.
     first = F.min(F.expr("if(start < 0, null, doc_id)")).over(Window.partitionBy("window", "check"))
     later = windows.withColumn("first", first).where("start < 0 or doc_id > first")

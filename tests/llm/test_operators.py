@@ -153,6 +153,12 @@ def test_substrings_shuffle_first_places_once(spark, tmp_path):
     assert 0 < shuffled < places
 
 
+def test_substrings_bitmap_grows_with_its_anchors(spark, texts):
+    assert [substring_dedup.bitmap_bits(n) for n in (0, 1_800_000, 30_000_000, 107_000_000, 10**10)] == [26, 26, 27, 29, 29]
+    sizes = [{(r["doc_id"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(spark, frame(spark, texts), 20, anchor_bits=bits).collect()} for bits in (None, 6)]
+    assert sizes[0] == sizes[1]
+
+
 @pytest.mark.parametrize("held", [1, 300, 1 << 19])
 def test_substrings_known_in_a_task(texts, held):
     rows = [x for k in range(3) for x in texts[k::3]]  # neither in the order of doc_id nor apart
