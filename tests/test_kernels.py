@@ -289,6 +289,17 @@ def test_trials():
     assert name == "bwt_mtf_rle" and codecs.PIPELINES[name][1](made, []) == b"abc " * 400
 
 
+def test_short_blocks_are_sorted_as_long_ones():
+    rng = random.Random(12)
+    for n in (1, 2, 3, 30, transforms.SHORT - 1, transforms.SHORT, transforms.SHORT + 1):
+        for data in (bytes(rng.choice(b"ab") for _ in range(n)), b"ab" * (n // 2) + b"a" * (n % 2), bytes(n)):
+            order = transforms.rotation_order(data)
+            last = bytes(data[k - 1] for k in order.tolist())
+            assert transforms.bwt(data) == last + int(np.flatnonzero(order == 0)[0]).to_bytes(4, "little") and transforms.bwt_inverse(transforms.bwt(data)) == data
+    streams = [b"", b"a", b"ab" * 40, bytes(600), b"1,2,3"]
+    assert codecs.pick_streams(streams) == [codecs.pick_stream(s) for s in streams] and codecs.pick_streams([]) == []
+
+
 def test_byte_models_keep_rows_for_seen_contexts_only():
     rng = np.random.default_rng(6)
     blocks = [bytes(rng.integers(97, 105, n).astype(np.uint8)) for n in (0, 1, 900, 40, 2500, 900)]

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from blockloom import __main__ as cli
 from blockloom.functions import blocks as B
 from blockloom.functions.register import register
-from blockloom.kernels import classify, container, lexicon, transforms as T
+from blockloom.kernels import classify, codecs, coding, container, lexicon, transforms as T
 from blockloom.operators import blocks as block_ops
 from blockloom.operators import contexts, streams, transforms, words
 from blockloom.plans import archive, levels, scoring
+from blockloom.plans.queries import QUERIES
 from blockloom.sources import members as M
 from blockloom.streaming import append
 
@@ -142,6 +143,33 @@ def test_trials_choose_the_smallest(spark):
     assert set(best) == {1, 2} and best[2]["pipeline"] == "raw" and best[1]["size"] == min(sizes) and len(sizes) == 4
 
 
+def test_the_best_pipeline_is_sought_for_blocks_of_every_size(spark, tmp_path):
+    texts = ["ab " * 20, "a", "so it goes, " * 30, "x,y\n1,2\n" * 200, None, "the quick brown fox jumps over a lazy dog"]
+    page, line, event = "<ul>" + "<li>one</li>" * 12 + "</ul>", (1, 1, 2, 3, "A", "F"), (1, 1, '{"k": 1}')
+    for name, rows, shape in (
+        ("documents", list(enumerate(texts)), "doc_id long, text string"), ("pages", [(1, page)], "page_id long, html string"),
+        ("events", [event], "event_id long, user_id long, props string"),
+        ("lineitem", [line], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string"),
+    ):
+        spark.createDataFrame(rows, shape).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    want: dict[str, list[int]] = {}
+    for text in [*texts, page, '[{"k": 1}]', "1,2,3,A,F"]:
+        data = (text or "").encode()
+        for a, b, kind in classify.cut(data, window=1 << 20):
+            if kind == "Text":
+                cell = spark.createDataFrame([(data[a:b].decode(),)], "t string")
+                shape = cell.select(block_ops.structure_of(F.col("t"))).first()[0]
+                names = ["raw", "bwt_mtf_rle", "lzp_bwt_mtf", *([f"{shape}_split"] if shape else [])]
+                best, made = codecs.trial(data[a:b], names, [])
+                want.setdefault(best, []).append(len(coding.side_encode(made)))
+    got = {r["pipeline"]: (r["blocks"], r["size"]) for r in QUERIES["trial_winner"](spark, str(tmp_path)).collect()}
+    assert got == {k: (len(v), sum(v)) for k, v in want.items()} and len(got) > 1
+    # near-random text, too
+    noise = bytes(random.Random(4).choices(range(32, 256), k=4000))
+    blocks = spark.createDataFrame([(1, 0, "Text", noise)], "member_id long, block_id int, kind string, raw binary")
+    assert codecs.shannon(noise) > codecs.TRIAL_BITS and archive.trials(blocks, [], 0, 0, most_bits=8.0).count() == 3
+
+
 def test_trials_are_dealt_to_all_cores_and_small_members_go_on_together(spark):
     rows = spark.range(0, 500, 1, 1).select(F.col("id").alias("member_id"), F.encode(F.repeat(F.lit("word "), 10), "UTF-8").alias("content"))
     blocks = block_ops.cut(rows)
