@@ -311,6 +311,83 @@ def test_byte_models_keep_rows_for_seen_contexts_only():
         assert models.bytes_decode(streams, [len(b) for b in blocks], deep) == blocks
 
 
+def chained(data, kind):
+    """The parse of least cost, place by place."""
+    least, bits = matching.LEAST_BY_KIND.get(kind, matching.PARSE_LEAST), matching.LITERAL_BITS[kind]
+    heads, found, n = {}, [], len(data)
+    for at in range(n):
+        key, length, distance = data[at : at + least], 0, 0
+        if len(key) == least:
+            for j in reversed(heads.setdefault(key, [])[-matching.CHAIN :]):
+                if (k := matching.match_length(data, j, at, matching.PARSE_MOST)) > length:
+                    length, distance = k, at - j
+            heads[key].append(at)
+        found.append((length, distance))
+    cost, take = [0.0] * (n + 1), [0] * n
+    for i in range(n - 1, -1, -1):
+        cost[i], length = cost[i + 1] + bits, found[i][0]
+        if length and cost[i + length] + matching.MATCH_BITS < cost[i]:
+            cost[i], take[i] = cost[i + length] + matching.MATCH_BITS, length
+    runs, i = [], 0
+    while i < n:
+        if take[i]:
+            runs.append(matching.Run(i, take[i], found[i][1]))
+        i += take[i] or 1
+    return runs
+
+
+def test_parses_are_those_place_by_place():
+    rng = random.Random(21)
+    piece = bytes(rng.choice(b"abcdefgh") for _ in range(90))
+    blocks = [b"", b"a" * 11, b"a" * 900, b"abc" * 300, piece * 4 + b"!" + piece[5:60] * 3, bytes(rng.choice(b"ab") for _ in range(1500))]
+    for data in blocks:
+        for kind in ("Text", "Binary"):
+            assert matching.parse(data, kind) == chained(data, kind)
+    calls = []
+    measured, matching.match_length = matching.match_length, lambda *x: calls.append(x) or measured(*x)
+    try:
+        matching.parse(piece * 4, "Text")
+    finally:
+        matching.match_length = measured
+    assert len(calls) < 30  # a run is measured at its end only, not at each of its places
+
+
+def test_lanes_alone_write_what_many_do(monkeypatch):
+    rng = np.random.default_rng(15)
+    blocks = [bytes(rng.choice([97, 98, 99, 120, 255], n, p=[0.6, 0.2, 0.1, 0.05, 0.05]).astype(np.uint8)) for n in (0, 1, 900, 40, 2500, 900)]
+    blocks += [rng.integers(0, 256, 1500).astype(np.uint8).tobytes(), bytes(1200)]
+    back = [matching.distances(matching.parse(b, "Text"), len(b)) for b in blocks]
+    for deep in (False, True):
+        made = []
+        for alone in (0, 2, 5, 40):
+            monkeypatch.setattr(models, "ALONE", alone)
+            made.append(models.bytes_encode(blocks, deep, back))
+            assert models.bytes_decode(made[-1], [len(b) for b in blocks], deep, back) == blocks
+        assert all(m == made[0] for m in made)
+        with pytest.raises(CorruptBlock):
+            models.bytes_decode([s[:-2] for s in made[0]], [len(b) for b in blocks], deep, back)
+    groups = list(codecs._groups(list(range(3000)), "shallow", [100] * 2000 + [5000] * 1000))
+    assert sorted(k for g in groups for k in g) == list(range(3000)) and len(groups) < 14 and max(map(len, groups)) <= codecs.BYTE_LANES
+    assert list(codecs._groups([7], "deep", [1 << 30])) == [[7]] and list(codecs._groups([], "deep", [])) == []
+
+
+def test_sizes_round_down_right():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 257, (300, 256)).astype(np.uint16) * (rng.random((300, 256)) < rng.random((300, 1)))
+    counts[0] = 0
+    total = counts.sum(axis=1).astype(np.int64)
+    want = 1 + counts.astype(np.int64) * (coding.SCALE - 256) // np.maximum(total, 1)[:, None]
+    want[:, 255] += coding.SCALE - want.sum(axis=1)
+    starts, lanes = np.cumsum(want, axis=1) - want, np.arange(300)
+    sizes = models.Sizes(counts, total)
+    for byte in (0, 1, 15, 16, 100, 254, 255):
+        start, size = sizes.of(np.full(300, byte))
+        assert (start == starts[:, byte]).all() and (size == want[:, byte]).all()
+        for slot in (start, start + size - 1):
+            found = sizes.find(slot)
+            assert (found[0] == byte).all() and (found[1] == start).all() and (found[2] == size).all()
+
+
 def test_sizes_of_side_streams():
     rng = random.Random(8)
     parts = [b"", b"a", b"ab" * 40, bytes(5000), bytes(rng.randrange(256) for _ in range(700))]

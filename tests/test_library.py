@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,15 @@ def test_trials_are_dealt_to_all_cores_and_small_members_go_on_together(spark):
     assert len(parts) > 1 and sum(parts.values()) == 500
 
 
+def test_batches_are_coded_together():
+    batches = [pa.RecordBatch.from_pydict({"k": [10 * i, 10 * i + 1], "raw": [b"x" * 30, None if i == 2 else b"y" * 30]}) for i in range(5)]
+    got = list(archive.together(iter(batches), "raw", 100))
+    assert [k for b in got for k in b.column("k").to_pylist()] == [k for b in batches for k in b.column("k").to_pylist()]
+    assert [b.num_rows for b in got] == [4, 5, 1] and list(archive.together(iter([]), "raw")) == []
+    sizes = [pa.RecordBatch.from_pydict({"n": [70, 70, 5]})]
+    assert [b.num_rows for b in archive.together(iter(sizes), "n", 100)] == [2, 1]
+
+
 def test_levels_and_methods(spark):
     assert [levels.parse_level(x) for x in (1, -3, 9, -19)] == [1, 3, 9, 19]
     assert levels.resolve_mode() == "hybrid" and levels.resolve_mode(-1) == "wire" and levels.resolve_mode(None, "fast") == "fast" and levels.resolve_mode(19, "slow") == "slow"
